@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, quality_rules
+from . import byte_bpe, exact_dedup, mixing, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), *_multi())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op5_byte_bpe)}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op5_byte_bpe, op6_exact_dedup)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -69,4 +73,10 @@ select doc_id, cast(size as bigint) as size, source_size, target,
        cast(epochs * size + least(size, greatest(0, floor(target) - epochs * source_size - before)) as bigint) as taken
 from e"""
 
-ORACLES = {"op2_quality_rules": OP2, "op3_mixing": OP3}
+OP6 = rf"""
+with d as (select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g') as t from documents),
+r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w as place
+      from d window w as (partition by t order by points desc, doc_id rows between unbounded preceding and unbounded following))
+select doc_id, keep_id, cast(group_size as bigint) as group_size, place = 1 as kept, sha256(t) as text_sha256 from r"""
+
+ORACLES = {"op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
