@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, ngram_join, quality_rules, substring_dedup
+from . import byte_bpe, exact_dedup, maxent_lm, mixing, ngram_join, quality_rules, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op5_byte_bpe, op6_exact_dedup, op8_substring_dedup, op9_ngram_join)}
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op5_byte_bpe, op6_exact_dedup, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
