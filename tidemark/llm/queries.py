@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, maxent_lm, mixing, ngram_join, quality_rules, substring_dedup
+from . import byte_bpe, exact_dedup, language_id, maxent_lm, mixing, ngram_join, quality_rules, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), *_multi())
 
@@ -47,7 +51,7 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scores(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op5_byte_bpe, op6_exact_dedup, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
