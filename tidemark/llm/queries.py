@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, maxent_lm, mixing, ngram_join, quality_rules, substring_dedup
+from . import byte_bpe, exact_dedup, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def _multi() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_histogram.token_limits(_documents(spark, sf_dir), *_multi())
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 neither toxic nor good, 2 good and not toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1)
+    return quality_classifier.selection(_documents(spark, sf_dir), labels.select("doc_id", grade.alias("grade")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_documents(spark, sf_dir))
 
@@ -51,7 +62,7 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scores(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
