@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import origin_queries
+
+MODULES = (origin_queries,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
