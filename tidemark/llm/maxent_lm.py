@@ -47,13 +47,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _before(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each, and the one before that; START where a text has none."""
+def _before(found: np.ndarray, at: np.ndarray, start=START) -> tuple[np.ndarray, np.ndarray]:
+    """The token (or what stands for it) before each, and the one before that; start where a text has none."""
     one, two = np.empty_like(found), np.empty_like(found)
     one[1:], two[2:] = found[:-1], found[:-2]
-    one[at[:-1]] = two[at[:-1]] = START
+    one[at[:-1]] = two[at[:-1]] = start
     second = at[:-1] + 1
-    two[second[second < at[1:]]] = START
+    two[second[second < at[1:]]] = start
     return one, two
 
 
@@ -132,8 +132,7 @@ class Model:
             self.norm[c] = np.log(np.exp(base[w] + a[:, None] + b[None]).sum(2))
 
     def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        x = self.weights[rows[0]] + self.weights[rows[1]] + self.weights[rows[2]] + self.bias
-        x -= x.max(1, keepdims=True)
+        x = _scores(self.weights, self.bias, rows)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
     def logs(self, found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +140,7 @@ class Model:
         one, two = _before(found, at)
         place = self.look(found)
         classes = self.class_of(place)
-        ones, twos = self._contexts(one, two)
+        ones, twos = _before(classes, at, self.rare)
         counts = np.where(place >= 0, self.counts[place], 0) if len(self.counts) else np.zeros(len(place), np.int64)
         out = np.empty(len(found))
         for i in range(0, len(found), 8 * BATCH):
@@ -154,8 +153,29 @@ class Model:
         out[head] += self.words[0][0, w] + self.words[1][ones[head], w] + self.words[2][twos[head], w] - self.norm[c, ones[head], twos[head]]
         return out, place, counts
 
-    def _contexts(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.class_of(self.look(one)), self.class_of(self.look(two))
+
+def _scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of each token's three rows, less their largest."""
+    x = np.take(weights, rows[0], 0)
+    x += np.take(weights, rows[1], 0)
+    x += np.take(weights, rows[2], 0)
+    x += bias
+    x -= x.max(1, keepdims=True)
+    return x
+
+
+def _by_row(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows met, how often, sums of x over each); most are met once, and those are copied, not summed."""
+    every = rows.ravel().astype(np.uint16)  # 16-bit keys are sorted by radix
+    order = np.argsort(every, kind="stable")
+    every, order = every[order], order % len(x)
+    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    times = np.diff(np.append(new, len(every)))
+    sums, many = np.take(x, order[new], 0), np.flatnonzero(times > 1)
+    if len(many):
+        take = vectors.ranges(new[many], times[many])
+        sums[many] = np.add.reduceat(np.take(x, order[take], 0), np.cumsum(times[many]) - times[many])
+    return every[new].astype(np.int64), times, sums
 
 
 def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +245,9 @@ def _contexts(model):
 
     def key_of(found: np.ndarray, at: np.ndarray) -> np.ndarray:
         m = model.value
-        one, two = m._contexts(*_before(found, at))
         place = m.look(found)
         classes = m.class_of(place)
+        one, two = _before(classes, at, m.rare)
         head = np.flatnonzero((place >= 0) & (classes < CLUSTERS))
         w, one, two, c, k = m.head[place[head]].astype(np.int64), one[head].astype(np.int64), two[head].astype(np.int64), classes[head].astype(np.int64), m.n_classes
         size = k * len(m.head_at)
@@ -250,19 +270,14 @@ def _steps(model, rate: float):
             rows, classes = _rows(one, two), m.class_of(m.look(found))
             for i in range(0, len(found), BATCH):
                 r, c = rows[:, i : i + BATCH], classes[i : i + BATCH]
-                x = weights[r[0]] + weights[r[1]] + weights[r[2]] + bias
-                x -= x.max(1, keepdims=True)
+                x = _scores(weights, bias, r)
                 np.exp(x, out=x)
                 x /= x.sum(1, keepdims=True)
                 x[np.arange(len(c)), c] -= 1
-                every = r.ravel()
-                order = np.argsort(every, kind="stable")
-                some = every[order]
-                new = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-                g = np.add.reduceat(x[order % len(c)], new)
-                ids, times = some[new], np.diff(np.append(new, len(some)))
-                squares[ids] += (g * g).sum(1)
-                weights[ids] -= rate * g / np.sqrt(squares[ids])[:, None]
+                ids, times, g = _by_row(x, r)
+                squares[ids] += np.einsum("ij,ij->i", g, g)
+                g *= (rate / np.sqrt(squares[ids]))[:, None]
+                weights[ids] -= g
                 met[ids] += times
                 g = x.sum(0)
                 bias_squares += g * g

@@ -215,8 +215,8 @@ def _links(members: DataFrame) -> DataFrame:
         .select("rid", "n", "part", F.expr(f"filter(grams, x -> shiftrightunsigned(x, {64 - PARTS.bit_length() + 1}) = part)").alias("grams")),
         "parts",
     )
-    pivots = probes.groupBy("gram").agg(F.min(F.struct("alone", "rid", "n", "least", "most")).alias("p")).select("gram", "p.*").toDF("gram", *[f"p_{x}" for x in ("alone", "rid", "n", "least", "most")])
-    star = probes.join(pivots, "gram").where("rid <> p_rid and n between p_least and p_most and p_n between least and most")
+    pivots = probes.groupBy("gram").agg(F.min(F.struct("alone", "rid", "n", "least", "most", "place")).alias("p")).select("gram", "p.*").toDF("gram", *[f"p_{x}" for x in ("alone", "rid", "n", "least", "most", "place")])
+    star = probes.join(pivots, "gram").where(f"rid <> p_rid and {_FITS}")
     star = storage.materialise(star.select(F.least("rid", "p_rid").alias("a"), F.greatest("rid", "p_rid").alias("b")).distinct(), "star")
     first = storage.materialise(_verified(star, parts), "verified")
     joined = graph.components(first)
@@ -227,14 +227,18 @@ def _links(members: DataFrame) -> DataFrame:
         .where("kinds > 1").select("gram", "main")
     )
     mixed = storage.materialise(at.join(blocks, "gram"), "mixed")
-    minor = mixed.where("component <> main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("rid", "n", "least", "most", "component")])
-    across = mixed.join(minor, "gram").where("component <> p_component and n between p_least and p_most and p_n between least and most")
+    minor = mixed.where("component <> main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("rid", "n", "least", "most", "place", "component")])
+    across = mixed.join(minor, "gram").where(f"component <> p_component and {_FITS}")
     across = across.select(F.least("rid", "p_rid").alias("a"), F.greatest("rid", "p_rid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return first.union(_verified(across, parts))
 
 
+#: Two classes may link by sizes, and if this is the first n-gram in both, by what is left after its places.
+_FITS = f"n between p_least and p_most and p_n between least and most and least(n - place, p_n - p_place) >= ceil({NUM} * (n + p_n) / {NUM + DEN})"
+
+
 def _probes(members: DataFrame) -> DataFrame:
-    """(gram, rid, n, alone, least, most): each class's rarest n-grams, and the sizes of classes that it can link with.
+    """(gram, rid, n, alone, least, most, place): each class's rarest n-grams, and the sizes of classes that it can link with.
 
     With `alone` n-grams that no other class has, an overlap is at most n - alone; DEN * i >= NUM * (n + m - i) then
     bounds m from above, and i <= m from below.
@@ -251,7 +255,8 @@ def _probes(members: DataFrame) -> DataFrame:
         .withColumn("most", F.expr(f"floor(shared * {NUM + DEN} / {NUM}) - n"))
     )
     take = F.expr(f"cast(n - {_needed('n')} + 1 - alone as int)")
-    return sized.select("rid", "n", "alone", "least", "most", F.explode(F.slice("grams", F.lit(1), F.greatest(take, F.lit(0)))).alias("g")).select("g.gram", "rid", "n", "alone", "least", "most")
+    some = F.posexplode(F.slice("grams", F.lit(1), F.greatest(take, F.lit(0)))).alias("i", "g")
+    return sized.select("rid", "n", "alone", "least", "most", some).select("g.gram", "rid", "n", "alone", "least", "most", (F.col("alone") + F.col("i")).alias("place"))
 
 
 def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -108,4 +108,23 @@ r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition
       from d window w as (partition by t order by points desc, doc_id rows between unbounded preceding and unbounded following))
 select doc_id, keep_id, cast(group_size as bigint) as group_size, place = 1 as kept, sha256(t) as text_sha256 from r"""
 
-ORACLES = {"op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
+OP8 = rf"""
+with d as (select row_number() over () as row_id, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') as w from documents),
+k as (select row_id, doc_id, s, array_to_string(w[s : s + 19], ' ') as g from (select row_id, doc_id, w, unnest(range(1, len(w) - 18)) as s from d)),
+l as (select row_id, s, rank() over (partition by g order by doc_id nulls last, s) as i from k),
+gone as (select distinct row_id, s + j as place from l, (select unnest(range(0, 20)) as j) where i > 1),
+n as (select row_id, count(*) as n from gone group by 1),
+kept as (select p.row_id, string_agg(word, ' ' order by p.place) as t from (select row_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from d) p anti join gone using (row_id, place) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join n using (row_id) left join kept using (row_id)"""
+
+OP9 = rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[s : s + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) as s from d)),
+n as (select doc_id, count(*) as n from sh group by 1),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from d left join n using (doc_id) left join (select a, min(b) as m from r group by 1) on a = d.doc_id"""
+
+ORACLES = {"op8_substring_dedup": OP8, "op9_ngram_join": OP9, "op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
