@@ -204,6 +204,8 @@ def test_maxent_lm(docs, none):
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got), key=repr) == expect
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert maxent_lm.scores(none).count() == 0
+    untrained = maxent_lm.scores(docs.where(maxent_lm.held_out("doc_id"))).collect()
+    assert untrained and all(math.isfinite(r["score"]) and r["score"] == r["base_score"] == r["n_known"] == r["train_tokens"] == 0 for r in untrained)  # the unknown word alone is left
 
 
 def test_maxent_lm_sums_to_one():

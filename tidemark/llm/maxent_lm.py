@@ -33,6 +33,8 @@ HEAD, TABLE, ROWS = 1 << 13, 1 << 19, 1 << 15
 CLUSTERS, SEEDS, BANDS = 32, 64, 6
 BATCH, ROUNDS, RATE = 4096, 2, 0.3
 FOLDS, HELD_OUT = 5, 1
+#: Bias of a class without words: it gets no probability.
+EMPTY = -1e9
 U = np.uint64
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -96,7 +98,7 @@ class Model:
     def cluster(self, near: np.ndarray) -> None:
         """Sets the head's classes: near[w, s] counts how often seed s stands before or after head word w."""
         x = np.log1p(near)
-        x = x - x.mean(0)
+        x = x - x.sum(0) / max(len(x), 1)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
         k = min(CLUSTERS, len(x))
         weight = self.counts[self.head_at].astype(float)[: len(x), None] ** 0.5
@@ -109,6 +111,9 @@ class Model:
                     c = (x[mine] * weight[mine]).sum(0)
                     centres[j] = c / (np.linalg.norm(c) + 1e-9)
         self.classes[self.head_at] = found
+        none = np.bincount(self.classes, minlength=self.n_classes) == 0
+        none[self.rare] = False  # unknown words are always there
+        self.bias[none] = EMPTY
 
     def fit_words(self, one: np.ndarray, two: np.ndarray, both: np.ndarray) -> None:
         """The word softmax from counts of (class before, head word), (class before that, head word), (class, both)."""
@@ -350,9 +355,9 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
     flat = np.zeros(2 * k * h + CLUSTERS * k * k)
     flat[keys.astype(np.int64)] = n
     model.fit_words(flat[: k * h].reshape(k, h), flat[k * h : 2 * k * h].reshape(k, h), flat[2 * k * h :].reshape(CLUSTERS, k, k))
-    share = np.bincount(model.classes, model.counts + 0.5, minlength=k)
+    share = np.bincount(model.classes, model.counts + 0.5, minlength=k).astype(float)  # integers if there is nothing to count
     share[model.rare] += rare_mass
-    model.bias = np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
+    model.bias = np.where(share > 0, np.log(np.maximum(share, 1e-3) / share.sum()), EMPTY).astype(np.float32)
     for i in range(ROUNDS):
         _train(model, texts, RATE / (1 + i))
     return model, counts
