@@ -139,9 +139,9 @@ def tolerant_timestamps(s, d):
 
 
 @query(f"""with {R.E}, x as (select event_id, value, k, least(value / 100, 1.5) - .5 as a, k / 50.0 - 1 as b, k / 100.0 as c, case when k % 7 = 0 then null else k / 100.0 end as q from e)
-select event_id, case when q is null then 1.0 when q >= .75 then 1.25 when q >= .5 then 1.0 else .75 end as w1, case when q is null then 1.0 when q >= .75 then 1.25 when q <= .5 then .75 else 1.0 end as w2,
-case when coalesce(q, 0) >= .75 then 1.25 when coalesce(q, 0) >= .5 then 1.0 else .75 end as w3,
-case when c >= .85 then .4 when c <= .3 then .8 else .7 end as other,
+select event_id, cast(case when q is null then 1.0 when q >= .75 then 1.25 when q >= .5 then 1.0 else .75 end as double) as w1, cast(case when q is null then 1.0 when q >= .75 then 1.25 when q <= .5 then .75 else 1.0 end as double) as w2,
+cast(case when coalesce(q, 0) >= .75 then 1.25 when coalesce(q, 0) >= .5 then 1.0 else .75 end as double) as w3,
+cast(case when c >= .85 then .4 when c <= .3 then .8 else .7 end as double) as other,
 round(case when (a >= 0) <> (b >= 0) then (.6 * a + .4 * b) * .5 else .6 * a + .4 * b end, 6) as blend,
 case when greatest(abs(a), abs(b)) >= .6 and (a >= 0) = (b >= 0) then 'high' when greatest(abs(a), abs(b)) >= .4 then 'medium' else 'low' end as conf,
 case when a >= .6 then 'positive' when a <= -.6 then 'negative' else 'neutral' end as label,
