@@ -109,10 +109,15 @@ def top_explanations(fired: DataFrame, first: int, n: int) -> DataFrame:
 
 def balanced(rows: DataFrame, ratio: int, key: str, label: str) -> DataFrame:
     """All of the rarer label and at most ratio times as many of the other, the first ones by hash."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("c"))
-    least = sizes.agg(F.min("c").alias("least"))
-    w = W.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("__i", F.row_number().over(w)).join(F.broadcast(least)).where(F.col("__i") <= ratio * F.col("least")).drop("__i", "least")
+    r = F.md5(F.col(key).cast("string"))
+    x = rows.withColumns({"__h": r, "__b": F.substring(r, 1, 3)})
+    sizes = x.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__p")).agg(F.count("*").alias("__n"))
+    least = sizes.groupBy("__l").agg(F.sum("__n").alias("c")).agg(F.min("c").alias("__least"))
+    before = W.partitionBy("__l").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").join(F.broadcast(least))
+    inside = F.row_number().over(W.partitionBy(label, "__b").orderBy("__h", key))
+    x = x.withColumn("__i", inside).join(starts, F.col(label).eqNullSafe(F.col("__l")) & F.col("__b").eqNullSafe(F.col("__p")))
+    return x.where(F.col("__start") + F.col("__i") <= ratio * F.col("__least")).select(*rows.columns)
 
 
 def chronological(rows: DataFrame, share: float, *order: str) -> DataFrame:

@@ -6,10 +6,16 @@ so that Spark shuffles by key and bucket and no key's rows meet as a whole.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a time range, and the most ranges that all keys' times are cut into.
+RANGE_ROWS, RANGES = 1 << 16, 4096
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
@@ -54,13 +60,42 @@ def lagged(a: DataFrame, b: DataFrame, on: list[str], step_s: int, lags: int) ->
     return shifted.join(b.withColumnRenamed("bucket", "b_bucket"), [*on, "b_bucket"])
 
 
-def forward_asof(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """left with right's value at the first r_ts >= ts, else at its last: one sort of both sides by key and time."""
-    both = left.withColumn("__r", F.lit(None).cast(right.schema[value].dataType)).withColumn("__left", F.lit(True)).unionByName(
-        right.select(key, F.col("r_ts").alias("ts"), F.col(value).alias("__r")).withColumn("__left", F.lit(False)), allowMissingColumns=True
-    )
-    w = W.partitionBy(key).orderBy("ts", "__left")
-    order = W.partitionBy(key).orderBy("ts", F.desc("__left"))
-    after = F.first("__r", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    last = F.last("__r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return both.withColumn(value, F.coalesce(after, last)).where("__left").drop("__r", "__left")
+def time_cuts(times: DataFrame, ts: str, rows: int = RANGE_ROWS, most: int = RANGES) -> list[float]:
+    """Borders in microseconds that cut times into ranges of about so many rows; ranges grow once there are `most` of them."""
+    at = times.select(micros(F.col(ts)).cast("double").alias("at"))
+    n = min(at.count() // rows, most)
+    return sorted(set(at.approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+
+
+def ranged(df: DataFrame, ts: str, cuts: list[float]) -> DataFrame:
+    """df with __b, the place of ts among the cuts; null times have a range of their own after all others."""
+    if not cuts:
+        return df.withColumn("__b", F.when(F.col(ts).isNull(), 1.0).otherwise(0.0))
+    b = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__at", outputCol="__b", handleInvalid="keep")
+    found = b.transform(df.withColumn("__at", micros(F.col(ts)).cast("double"))).drop("__at")
+    return found.withColumn("__b", F.coalesce("__b", F.lit(len(cuts) + 1.0)))
+
+
+def forward_asof(left: DataFrame, right: DataFrame, key: str, value: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """left with right's value at the first r_ts >= ts, else at its last: sorted by key and time range, never by key alone.
+
+    Ranges without a later value take it from a table of one first and one last value a key and range. Of values at
+    the same time the least is the first and the greatest the last; null values, times and keys of right are left out,
+    and a null ts has the last value.
+    """
+    right = right.where(F.col(key).isNotNull() & F.col("r_ts").isNotNull() & F.col(value).isNotNull())
+    right = right.select(key, F.col("r_ts").alias("ts"), F.col(value).alias("__r")).withColumn("__left", F.lit(False))
+    both = left.drop(value).withColumn("__r", F.lit(None).cast(right.schema["__r"].dataType)).withColumn("__left", F.lit(True)).unionByName(right, allowMissingColumns=True)
+    both = ranged(both, "ts", time_cuts(both, "ts", rows))
+    at = F.when(~F.col("__left"), F.struct("ts", "__r"))
+    later = W.partitionBy(key).orderBy(F.desc("__b"))
+    edges = (
+        both.groupBy(key, "__b").agg(F.min_by("__r", at).alias("__first"), F.max_by("__r", at).alias("__last"))
+        .withColumn("__after", F.last("__first", ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("__end", F.first("__last", ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        .select(key, "__b", F.coalesce("__after", "__end").alias("__else"))
+    )
+    # backwards in time, so that the frame only grows
+    back = W.partitionBy(key, "__b").orderBy(F.desc("ts"), "__left", F.desc("__r")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__found", F.last("__r", ignorenulls=True).over(back)).where("__left").join(edges, [key, "__b"], "left")
+    return found.withColumn(value, F.coalesce("__found", "__else")).select(*[c for c in left.columns if c != value], value)
