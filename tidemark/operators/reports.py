@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_truthy
 from ..functions.stats import pearson, ranked, safe_ratio
+from . import joins
 
 
 def volatility_labels(bars: DataFrame, window: int = 6, q: float = 0.75) -> DataFrame:
@@ -129,23 +130,34 @@ def shadow_rows(history: DataFrame, label: Column, score: Column) -> DataFrame:
 
 
 def paper_trades(entries: DataFrame, prices: DataFrame, hours: int, cost: float, stop: float) -> DataFrame:
-    """Entry and exit prices as of the times, a stop at the first of ten points between, and the net result of each trade."""
-    from .joins import forward_asof
-
+    """Entry and exit prices as of the times, a stop at the first of ten points between, and the net result of each trade with its time of entry."""
     points = F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i")
     asked = entries.select("symbol", "event_id", "side", points, F.col("ts").alias("entered"))
-    asked = asked.withColumn("ts", F.timestamp_seconds(F.unix_micros("entered") / 1e6 + F.col("i") * (hours * 360)))
-    at = forward_asof(asked, prices, "symbol", "price")
+    asked = asked.withColumn("ts", F.timestamp_micros(F.unix_micros("entered") + F.col("i").cast("long") * (hours * 360_000_000)))
+    at = joins.forward_asof(asked, prices, "symbol", "price")
     first = at.where("i = 0").select("event_id", F.col("price").alias("entry"))
     j = at.join(first, "event_id").withColumn("move", F.col("side") * (F.col("price") / F.col("entry") - 1))
     done = F.coalesce(F.min_by(F.when(F.col("move") <= -stop, F.col("move")), F.when(F.col("move") <= -stop, F.col("i"))), F.max_by("move", "i"))
-    return j.groupBy("symbol", "event_id").agg(F.round(done - cost, 6).alias("pnl_pct"), F.count_if(F.col("move") <= -stop).cast("boolean").alias("stopped"))
+    return j.groupBy("symbol", "event_id").agg(F.round(done - cost, 6).alias("pnl_pct"), F.count_if(F.col("move") <= -stop).cast("boolean").alias("stopped"), F.first("entered").alias("ts"))
+
 
+def paper_equity(trades: DataFrame, order: list[str], times: DataFrame | None = None, rows: int = joins.RANGE_ROWS) -> DataFrame:
+    """Compounded equity of each symbol's trades in order, which starts with a time: products of ranges of time, then within each.
 
-def paper_equity(trades: DataFrame, order: list[str]) -> DataFrame:
-    """Compounded equity of each symbol's trades in order."""
-    w = W.partitionBy("symbol").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return trades.withColumn("equity", F.round(F.exp(F.sum(F.ln(1 + F.col("pnl_pct"))).over(w)), 6))
+    The ranges' borders are taken from times, if given: the same times, cheaper to read.
+    A loss of all or more makes the factor 1 + pnl_pct zero or negative; the product keeps its zeros and signs.
+    """
+    f = 1 + F.col("pnl_pct")
+    parts = {"__ln": F.coalesce(F.ln(F.abs(f)), F.lit(0.0)), "__neg": (f < 0).cast("long"), "__zero": (f == 0).cast("long")}
+    x = joins.ranged(trades, order[0], joins.time_cuts(trades if times is None else times, order[0], rows)).withColumns(parts)
+    before = W.partitionBy("__s").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    sums = x.groupBy(F.col("symbol").alias("__s"), F.col("__b").alias("__p")).agg(*[F.sum(c).alias(c) for c in parts])
+    starts = sums.select("__s", "__p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in parts])
+    own = W.partitionBy("symbol", "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumns({c: F.sum(c).over(own) for c in parts}).join(starts, F.col("symbol").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__p")))
+    ln, neg, zero = (F.coalesce(F.col(c), F.lit(0)) + F.col(f"{c}0") for c in parts)
+    equity = F.when(zero > 0, 0.0).otherwise(F.exp(ln) * F.when(neg % 2 == 1, -1).otherwise(1))
+    return x.withColumn("equity", F.round(equity, 6)).select(*trades.columns, "equity")
 
 
 def notifications(actions: DataFrame, calibration: DataFrame, accuracy: DataFrame) -> DataFrame:

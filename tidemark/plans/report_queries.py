@@ -143,7 +143,17 @@ def paper_trades(s, d):
     from .market_queries import signals
 
     entries = signals(s, d).where("event_id % 50 = 0").withColumn("side", F.when(F.col("direction") == "long", 1).otherwise(-1))
-    return reports.paper_trades(entries, R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price"), 2, 0.001, 0.2)
+    return reports.paper_trades(entries, R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price"), 2, 0.001, 0.2).drop("ts")
+
+
+@query()
+def paper_trades_equity(s, d):
+    """Every signal simulated, and each symbol's compounded equity; paper_trades has one signal in fifty, as its SQL."""
+    from .market_queries import signals
+
+    entries = signals(s, d).withColumn("side", F.when(F.col("direction") == "long", 1).otherwise(-1))
+    trades = reports.paper_trades(entries, R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price"), 2, 0.001, 0.2)
+    return reports.paper_equity(trades, ["ts", "event_id"], entries.select("ts"))
 
 
 @query(f"""with {E}, x as (select event_id, least(floor(value) / 100, 1) as trust, case k % 4 when 0 then 'low_confidence' when 1 then 'missing_agreement' when 2 then 'asset_spike' end as hint, case when k % 5 > 0 then k / 2.0 end as age, user_id % 8 as n, k % 2 = 0 as flagged from e)
