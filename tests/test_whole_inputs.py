@@ -63,3 +63,10 @@ def test_equity_by_ranges_with_zeros_and_signs(spark):
             for i, p in enumerate(all_):
                 e *= 1 + p
                 assert got[s, i] == pytest.approx(e, abs=2e-6)
+
+
+def test_every_event_is_looked_up(spark, tables):
+    d, rows = tables
+    ticks = book(rows)
+    got = {x["event_id"]: x["price"] for x in registry.QUERIES["forward_price_lookup_all"](spark, d).collect()}
+    assert got == {x[0]: price(ticks, x[3], x[1]) for x in rows}

@@ -215,6 +215,16 @@ def forward_price_lookup(s, d):
     return joins.forward_asof(left, right, "symbol", "price").select("event_id", "price")
 
 
+@query(f"""with {TICKS}, z as (select symbol, max(ts) as last, arg_max(price, (ts, price)) as price from ticks group by 1), p as (select symbol, ts as r_ts, min(price) as price from ticks group by 1, 2),
+l as (select event_id, event_type as symbol, ts from e)
+select event_id, coalesce(p.price, z.price) as price from l asof left join p on l.symbol = p.symbol and l.ts <= p.r_ts left join z on l.symbol = z.symbol""")
+def forward_price_lookup_all(s, d):
+    """Every event against every tick; forward_price_lookup asks for a part of the events and ticks, as its SQL."""
+    left = R.events(s, d).select("event_id", F.col("event_type").alias("symbol"), "ts")
+    right = R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price")
+    return joins.forward_asof(left, right, "symbol", "price").select("event_id", "price")
+
+
 @query()
 def stateful_backtest(s, d):
     return market.backtest(predicted(s, d), 0.7, 10, 3)
