@@ -28,10 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
-def _run(s, stream, mode="complete"):
+def _place(s) -> tuple[str, str]:
+    """A new name and its folder."""
     base = s.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
     name = f"stream_{uuid.uuid4().hex}"
-    return streams.run_available(stream, name, f"{base}/{name}", mode)
+    return name, f"{base}/{name}"
+
+
+def _run(s, stream, mode="complete"):
+    name, folder = _place(s)
+    return streams.run_available(stream, name, folder, mode)
 
 
 @query(f"with {E} select event_type as origin, cast(date_trunc('hour', ts) as timestamp) as bucket, count(*) as n from e group by 1, 2")
@@ -53,7 +59,7 @@ def streamed_dedup(s, d):
 def streamed_cooldown(s, d):
     e = streams.events(s, d)
     a = e.select("event_id", F.col("event_type").alias("symbol"), "ts", (F.col("value") / 10).alias("move"), F.get_json_object("props", "$.k").cast("double").alias("volume")).where("move >= 7 and volume >= 10")
-    return _run(s, streams.cooled(a, 30, 2.0), "append").select("symbol", "event_id")
+    return streams.run_cooled(a, _place(s)[1], 30, 2.0).select("symbol", "event_id")
 
 
 @query(f"with {HISTORY} select f.event_id, h.event_id as h_id from feedback f join history h on f.origin = h.origin and abs(epoch_us(f.ts) - epoch_us(h.ts)) <= 300000000")

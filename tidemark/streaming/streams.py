@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import market
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -41,24 +39,34 @@ def labels_with_decisions(labels: DataFrame, decisions: DataFrame, seconds: int
     return a.join(b, (F.col("a.origin") == F.col("b.r_origin")) & apart)
 
 
-def cooled(stream: DataFrame, minutes: int, differ: float) -> DataFrame:
-    """Accepted alerts per symbol: state holds the last accepted time and size."""
-
-    def accept(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for rows in parts:
-            rows, keep = rows.sort_values(["ts", "event_id"]), []
-            for ts, move in zip(rows.ts, rows.move, strict=True):
-                at = ts.timestamp()
-                ok = last is None or at - last[0] >= 60 * minutes or abs(move - last[1]) >= differ
-                keep.append(ok)
-                last = (at, float(move)) if ok else last
-            yield rows[keep]
-        if last is not None:
-            state.update(last)
+def run_cooled(stream: DataFrame, folder: str, minutes: int, differ: float) -> DataFrame:
+    """Accepted alerts per symbol of what is there now, written to folder (shared by driver and executors).
 
+    Each micro-batch is sorted by symbol and time as a whole and starts from the last accepted alert of each symbol, a
+    table of one row a symbol that the batch before has left. A batch that is run again overwrites what it wrote.
+    Between micro-batches alerts are taken as they come: one older than the last accepted one counts as soon after it.
+    """
+    spark = stream.sparkSession
     schema = "symbol string, ts timestamp, event_id long, move double"
-    return stream.select("symbol", "ts", "event_id", "move").groupBy("symbol").applyInPandasWithState(accept, schema, "at double, move double", "append", GroupStateTimeout.NoTimeout)
+    new = "__new boolean"
+
+    def batch(rows: DataFrame, n: int) -> None:
+        s = rows.sparkSession
+        before = s.read.schema(schema).parquet(f"{folder}/last/n={n - 1}") if n else s.createDataFrame([], schema)
+        every = rows.select("symbol", "ts", "event_id", "move").withColumn("__new", F.lit(True)).unionByName(before.withColumn("__new", F.lit(False)))
+        # the last accepted row of before comes first in its group, so it is kept and the others are held against it
+        kept = market.gated(every, ["symbol"], ["__new", "ts", "event_id"], "move", market.soon_after(minutes, differ))
+        kept.write.mode("overwrite").parquet(f"{folder}/kept/n={n}")
+        kept = s.read.schema(f"{schema}, {new}").parquet(f"{folder}/kept/n={n}")
+        last = kept.groupBy("symbol").agg(F.max_by(F.struct("ts", "event_id", "move"), F.struct("__new", "ts", "event_id")).alias("x"))
+        last.select("symbol", "x.*").write.mode("overwrite").parquet(f"{folder}/last/n={n}")
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kept")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch yet
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, {new}, n long").parquet(f"{folder}/kept").where("__new").drop("__new", "n")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
