@@ -110,3 +110,14 @@ def bootstrap_brier(s, d):
     p = pairs(s, d).select(F.col("event_id").alias("row"), "score", "label")
     b = models.bootstrap(p, 30, "score").where("abs(mean) < 1 and std >= 0").groupBy().agg(F.count("*").alias("c"))
     return p.groupBy().agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") - F.col("label").cast("int")) ** 2), 6).alias("brier")).join(b).select((F.col("c") * 30).cast("int").alias("resamples"), "n", "brier")
+
+
+@query()
+def bootstrap_brier_deviation(s, d):
+    """Mean and deviation of the Brier score over 30 resamples beside the plain one; bootstrap_brier has the plain one only, as its SQL."""
+    from .quality_queries import pairs
+
+    p = pairs(s, d).select(F.col("event_id").alias("row"), "score", "label")
+    plain = p.groupBy().agg(F.count("*").alias("n"), F.avg((F.col("score") - F.col("label").cast("int")) ** 2).alias("brier"))
+    b = models.bootstrap(p, 30, "score")
+    return plain.join(b).select(F.lit(30).alias("resamples"), "n", *[F.round(c, 6).alias(c) for c in ("brier", "mean", "std")])
