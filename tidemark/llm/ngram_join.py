@@ -36,7 +36,6 @@ WORDS, NUM, DEN = 5, 80, 100
 SEND, FRAGMENT = 4_000_000, 2_000_000
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
-NO_ID = -(1 << 63)
 U = np.uint64
 
 
@@ -67,7 +66,7 @@ def _describe(size: int):
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectors.slices(batches):
             values, at = sets(b.column("text"), size)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(at)), pa.array(_signatures(values, at), pa.binary())], names=["k", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(np.diff(at)), pa.array(_signatures(values, at), pa.binary())], names=["k", "id", "n", "sig"])
 
     return describe
 
@@ -161,8 +160,9 @@ def _members(size: int):
     return members
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("k"), F.col(f"`{text}`").alias("text"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with a row number, written down so that it stays the same; ids can be null or occur twice."""
+    return storage.materialise(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
 def _needed(n: str) -> str:
@@ -172,19 +172,23 @@ def _needed(n: str) -> str:
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """key, n_shingles, component_id (smallest id that links reach) of each row."""
-    spark = df.sparkSession
+    rows = _placed(_numbered(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))), key, text, size)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _placed(numbered: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """k (row number), id, n, and of rows with copies or links: known, component (its smallest id), unnamed (its smallest k with a null id)."""
+    spark = numbered.sparkSession
     storage.ship(spark)
-    keyed = _keyed(df, key, text)
-    described = storage.materialise(keyed.mapInArrow(_describe(size), "k long, n long, sig binary"), "sets")
+    keyed = numbered.select(F.col("__row").alias("k"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    described = storage.materialise(keyed.mapInArrow(_describe(size), "k long, id long, n long, sig binary"), "sets")
     total = described.agg(F.sum("n")).first()[0] or 0
     named = _named(spark, keyed, described, total, size)
-    rows = described.join(storage.small(named, named.count(), 48), "sig", "left")
-    id_ = F.when(F.col("k") != NO_ID, F.col("k"))
-    return rows.select(id_.alias(key), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component")).otherwise(id_).alias("component_id"))
+    return described.join(storage.small(named, named.count(), 56), "sig", "left")
 
 
 def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int) -> DataFrame:
-    """(sig, component, known) of each class that may have copies or links."""
+    """(sig, component, unnamed, known) of each class that may have copies or links."""
     bits = min(64, max(24, math.ceil(math.log2(total + 1)) + 12))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT))
     shared = (
@@ -203,8 +207,8 @@ def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int)
     members = storage.materialise(members, "members")
     joined = graph.components(_links(members))
     of = members.select("rid", "sig").join(joined, F.col("rid") == F.col("node"), "left").select("sig", F.coalesce("component", "rid").alias("c"))
-    smallest = left.join(of, "sig").groupBy("c").agg(F.min(F.when(F.col("k") != NO_ID, F.col("k"))).alias("component"))
-    return storage.materialise(of.join(smallest, "c").select("sig", "component", F.lit(True).alias("known")), "named")
+    smallest = left.join(of, "sig").groupBy("c").agg(F.min("id").alias("component"), F.min(F.when(F.col("id").isNull(), F.col("k"))).alias("unnamed"))
+    return storage.materialise(of.join(smallest, "c").select("sig", "component", "unnamed", F.lit(True).alias("known")), "named")
 
 
 def _links(members: DataFrame) -> DataFrame:
@@ -268,7 +272,13 @@ def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """df's rows without those whose component has a smaller id; rows with an id in common stay or go together."""
-    found = storage.materialise(classes(df, key, text, size), "components")
-    gone = storage.materialise(found.where(f"`{key}` <> component_id").select(F.col(key).alias("__gone")).distinct(), "gone")
-    return df.join(storage.small(gone, gone.count(), 16), F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    """df's rows without those whose component has a smaller id; rows with an id in common stay or go together.
+
+    A row with a null id goes if its component has an id, or has such a row before it.
+    """
+    numbered = _numbered(df)
+    found = storage.materialise(_placed(numbered, key, text, size).where("known").select("k", "id", "component", "unnamed"), "components")
+    gone = storage.materialise(found.where("id <> component").select(F.col("id").alias("__gone")).distinct(), "gone")
+    unnamed = storage.materialise(found.where("id is null and (component is not null or k <> unnamed)").select(F.col("k").alias("__gone")), "gone-unnamed")
+    left = numbered.join(storage.small(gone, gone.count(), 16), F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    return left.join(storage.small(unnamed, unnamed.count(), 16), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
