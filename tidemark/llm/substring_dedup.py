@@ -11,8 +11,9 @@
 
 "Earlier" is a smaller id, or an earlier start in the same document. Defined cases: a null text has no words; a null
 id is larger than all others; rows with an id in common count as one document for the order, and at equal start
-neither is earlier; windows are judged on the input, never on what is left; an empty table gives an empty result;
-other columns of the input are left out.
+neither is earlier; rows are told apart by their id and a 128-bit hash of their text, so only rows alike in both share
+their spans; windows are judged on the input, never on what is left; a very long text is one row's work, in about ten
+times its size; an empty table gives an empty result; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -70,12 +71,13 @@ class _Sender:
     def clear(self):
         self.parts, self.ids, self.hashes, self.n, self.docs = [], [], [], 0, 0
 
-    def add(self, k: np.ndarray, h: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """arrays[1] has each entry's document, by place in k."""
+    def add(self, batch: pa.RecordBatch, n: int, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """arrays[1] has each entry's document, by place in the batch."""
+        k = batch.column("k").to_numpy()
         arrays = (arrays[0], arrays[1] + self.docs, *arrays[2:])
         self.parts.append(arrays)
         self.ids.append(k)
-        self.hashes.append(h)
+        self.hashes.append(np.stack([batch.column("h").to_numpy(), batch.column("g").to_numpy()], 1))
         self.n, self.docs = self.n + n, self.docs + len(k)
         if self.n >= SEND:
             yield from self.end()
@@ -102,7 +104,7 @@ def _probe(bits: int, fragments: int):
         bounds = _bounds(bits, fragments)
         edges = np.searchsorted(values, bounds)
         block_edges = np.searchsorted(block_rank, edges)
-        rows = [(number, fragments + number % fragments, None, _pack(ids), _pack(hashes), None)]
+        rows = [(number, fragments + number % fragments, None, _pack(ids), hashes.tobytes(), None)]
         for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if a < b:
                 s = slice(block_edges[f], block_edges[f + 1])
@@ -121,7 +123,7 @@ def _probe(bits: int, fragments: int):
             starts = vectors.ranges(first[:-1], n)
             docs = np.repeat(np.arange(len(n)), n)
             grams = vectors.windows(words, starts, BLOCK) >> U(64 - bits)
-            yield from sender.add(b.column("k").to_numpy(), b.column("h").to_numpy(), len(grams), grams, docs, starts - first[docs])
+            yield from sender.add(b, len(grams), grams, docs, starts - first[docs])
         yield from sender.end()
 
     return probe
@@ -171,7 +173,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             docs.append(_unpack(r["a"]))
             places.append(_unpack(r["b"]))
         else:
-            ids, hashes = _unpack(r["a"]), _unpack(r["b"])
+            ids, hashes = _unpack(r["a"]), np.frombuffer(r["b"], np.int64).reshape(-1, 2)
             if r["c"] is not None:  # what the sender itself has found
                 own = int.from_bytes(r["c"][:4], "little")
                 docs.append(_unpack(r["c"][4 : 4 + own]))
@@ -185,7 +187,7 @@ def _blocks(table: pa.Table) -> pa.Table:
     docs, places = docs[order], places[order]
     some, at = np.unique(docs, return_index=True)
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(docs)).astype(np.int32)), pa.array(places.astype(np.int32)))
-    return pa.table({"k": ids[some], "h": pa.array(hashes[some], pa.int32()), "blocks": lists})
+    return pa.table({"k": ids[some], "h": hashes[some, 0], "g": hashes[some, 1], "blocks": lists})
 
 
 def _extend(bits: int, fragments: int):
@@ -198,7 +200,7 @@ def _extend(bits: int, fragments: int):
         start = np.searchsorted(group, np.arange(group[-1] + 1))[group]
         later = (k != k[start]) | (at != at[start])
         own = _pack(docs[later])
-        rows = [(number, fragments + number % fragments, None, _pack(ids), _pack(hashes), len(own).to_bytes(4, "little") + own + _pack(at[later]))]
+        rows = [(number, fragments + number % fragments, None, _pack(ids), hashes.tobytes(), len(own).to_bytes(4, "little") + own + _pack(at[later]))]
         grams, docs, at, k = (x[~later] for x in (grams, docs, at, k))
         bounds = _bounds(bits, fragments)
         edges = np.searchsorted(grams, bounds)
@@ -221,7 +223,7 @@ def _extend(bits: int, fragments: int):
             starts = vectors.distinct(vectors.ranges(first[doc] + low, m))
             doc = np.searchsorted(first, starts, "right") - 1
             grams = vectors.windows(words, starts, WINDOW)
-            yield from sender.add(b.column("k").to_numpy(), b.column("h").to_numpy(), len(grams), grams, doc, starts - first[doc])
+            yield from sender.add(b, len(grams), grams, doc, starts - first[doc])
         yield from sender.end()
 
     return extend
@@ -251,28 +253,29 @@ def _spans(table: pa.Table) -> pa.Table:
     ids, hashes, docs, places = _gathered(table)
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    same = np.concatenate([[False], (docs[1:] == docs[:-1]) & (places[1:] <= places[:-1] + WINDOW)])
-    begin, end = np.flatnonzero(~same), np.append(np.flatnonzero(~same)[1:], len(docs)) - 1
+    same = np.concatenate([[False], (docs[1:] == docs[:-1]) & (places[1:] <= places[:-1] + WINDOW)])[: len(docs)]
+    begin = np.flatnonzero(~same)
+    end = np.append(begin[1:], len(docs))[: len(begin)] - 1
     span_docs = docs[begin]
     some, at = np.unique(span_docs, return_index=True)
     offsets = pa.array(np.append(at, len(begin)).astype(np.int32))
     begins, ends = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (places[begin], places[end] + WINDOW))
-    return pa.table({"k": ids[some], "h": pa.array(hashes[some], pa.int32()), "begins": begins, "ends": ends})
+    return pa.table({"k": ids[some], "h": hashes[some, 0], "g": hashes[some, 1], "begins": begins, "ends": ends})
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("k"), F.hash(t).alias("h"), t.alias("text"))
+    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), t.alias("text"))
 
 
 def _joined(docs: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
     """docs with side's lists; side is broadcast if its size allows."""
     rows, entries = side.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return docs.join(storage.small(side, 1, 40 * rows + 8 * entries), ["k", "h"], how)
+    return docs.join(storage.small(side, 1, 56 * rows + 8 * entries), ["k", "h", "g"], how)
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, h, begins, ends): the maximal spans of words to remove of each document with any; k is the id, h the text's hash."""
+    """(k, h, g, begins, ends): the maximal spans of words to remove of each document with any; k is the id, h and g hash the text."""
     spark = df.sparkSession
     storage.ship(spark)
     docs = _keyed(df, key, text)
@@ -283,20 +286,20 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hits = (
         docs.mapInArrow(_probe(bits, fragments), MESSAGE)
         .groupBy("fragment").applyInArrow(_hits(fragments), answer)
-        .groupBy("message").applyInArrow(_blocks, "k long, h int, blocks array<int>")
+        .groupBy("message").applyInArrow(_blocks, "k long, h long, g long, blocks array<int>")
     )
-    hits = storage.materialise(hits.groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "hits")
+    hits = storage.materialise(hits.groupBy("k", "h", "g").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "hits")
     found = (
         _joined(docs, hits, "blocks", "inner")
         .mapInArrow(_extend(64, fragments), MESSAGE)
         .groupBy("fragment").applyInArrow(_judge(fragments), answer)
-        .groupBy("message").applyInArrow(_spans, "k long, h int, begins array<int>, ends array<int>")
+        .groupBy("message").applyInArrow(_spans, "k long, h long, g long, begins array<int>, ends array<int>")
     )
-    return storage.materialise(found.dropDuplicates(["k", "h"]), "spans")
+    return storage.materialise(found.dropDuplicates(["k", "h", "g"]), "spans")
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in vectors.slices(batches):
         out = []
         for text, begins, ends in zip(*[b.column(c).to_pylist() for c in ("text", "begins", "ends")], strict=True):
             words, kept, at = text.encode().split(), [], 0
@@ -305,11 +308,11 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = end
             kept += words[at:]
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        n, gone, left = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["k", "n_words", "n_removed", "kept_text"])
+        n, gone, left = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept_text (kept words joined by one space) of each row."""
-    cut = _joined(_keyed(df, key, text), spans(df, key, text), "begins", "left").mapInArrow(_cut, "k long, n_words long, n_removed long, kept_text string")
-    return cut.select(F.when(F.col("k") != NO_ID, F.col("k")).alias(key), "n_words", "n_removed", "kept_text")
+    cut = _joined(_keyed(df, key, text), spans(df, key, text), "begins", "left").mapInArrow(_cut, "id long, n_words long, n_removed long, kept_text string")
+    return cut.select(F.col("id").alias(key), "n_words", "n_removed", "kept_text")
