@@ -3,7 +3,9 @@
 Texts are cut at safe boundaries, so that a very long one is encoded piece by piece; decoding works on raw bytes,
 so a cut inside a character never matters. A boundary is safe before a space that follows an ASCII letter or
 digit: the split pattern lets no match go from a non-space on to a space, and looks ahead only from spaces to what
-follows them, so matches on both sides are the same with and without the cut.
+follows them, so matches on both sides are the same with and without the cut. A long run of white space is one match
+of all of it, or of all but the last character if something follows; it is encoded as that one match, as the pattern's
+backtracking would overflow on it. (Both hold for patterns like that of the rank files here.)
 
 Defined cases: a null text is an empty one, with no ids; special tokens' strings are ordinary text; other columns
 of the input are left out; repeated rows are encoded one by one; an empty table gives an empty result.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,6 +26,8 @@ from . import storage
 
 #: Characters a piece has at least before it is cut.
 PIECE_CHARS = 1 << 16
+#: A run of at least so many white-space characters (Unicode's White_Space) is encoded by itself.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 #: Texts of one batch that are kept to be found again (copies), by characters.
 COPY_CHARS = 1 << 20
 
@@ -55,8 +60,17 @@ def pieces(text: str, least: int = PIECE_CHARS) -> Iterator[str]:
 def encode(text: str | None, ranks: str, pattern: str) -> list[int]:
     encoding, _ = tokenizer(ranks, pattern)
     found: list[int] = []
-    for piece in pieces(text or ""):
-        found += encoding.encode_ordinary(piece)
+    text, at = text or "", 0
+
+    def ordinary(part: str) -> None:
+        for piece in pieces(part):
+            found.extend(encoding.encode_ordinary(piece))
+
+    for run in RUN.finditer(text):
+        ordinary(text[at : run.start()])
+        at = run.end() - (run.end() < len(text))
+        found += encoding._encode_single_piece(text[run.start() : at])
+    ordinary(text[at:])
     return found
 
 
