@@ -1,13 +1,18 @@
 """Language of each word and text by a linear-chain conditional random field.
 
-A word's features are its hash (lexicon), its first and last one to three bytes (affixes) and its byte 2-, 3- and
+A word's features are its hash (lexicon), its first and last one to three bytes (affixes) and all its byte 2-, 3- and
 4-grams, each hashed to a row of weights with a column a language; a learned matrix scores each step from one word's
 language to the next's. Forward-backward gives every word its probability of each language, so a text may switch
 between languages; the text's language is the one with the largest sum.
 
-Training uses a sample of TRAIN_ROWS labelled rows (expected number, chosen by their ids' hashes, so the same ones on
-every run) of at most TRAIN_CHARS characters each. Their words are spliced into sequences that change language, so
-that the steps are learned from switched text. Every row is predicted from its whole text.
+Bounds of one chain, not of the text: a word of more than LONGEST bytes (scripts without spaces, glued runs) stands
+for several words of that size, and a text of more than CHAIN of them for several chains. All of them count.
+
+Training uses a sample of labelled rows: of each label about TRAIN_ROWS / labels rows, or fewer so that all labels
+together have about TRAIN_CHARS characters, chosen by hashes of id and text and sorted by them, so the same rows in the
+same order on every run and in any partitions. Long texts are as likely as short ones. Their words are spliced into
+sequences that change language, so that the steps are learned from switched text. Every row is predicted from its
+whole text.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; a label of null is not learned from;
 without any label every text is ``und``; ties go to the first language in order; repeated rows are predicted one by
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20000
+TRAIN_ROWS, TRAIN_CHARS = 4000, 24_000_000
+#: Bytes of a word, and words of a chain.
+LONGEST, CHAIN = 64, 4096
 ROWS = 1 << 18
 EPOCHS, RATE = 2, 0.3
 SPLICE = 40
@@ -36,6 +43,13 @@ U = np.uint64
 def _vocabulary(texts: pa.Array):
     """(place in the batch's list of distinct words of each word, first word of each text, features of each distinct word, where they begin)."""
     hashes, first, data, starts, ends = vectors.words(texts, lower=True)
+    if len(starts) and (ends - starts).max() > LONGEST:
+        parts = -(-(ends - starts) // LONGEST)
+        first = np.concatenate([[0], np.cumsum(parts)])[first]
+        ends = np.repeat(ends, parts)
+        starts = np.repeat(starts, parts) + vectors.ranges(np.zeros(len(parts), np.int64), parts) * LONGEST
+        ends = np.minimum(ends, starts + LONGEST)
+        hashes = vectors.hashed(data, starts, ends)
     _, index, words = np.unique(hashes, return_index=True, return_inverse=True)
     rows, at = _features(data, starts[index], ends[index], hashes[index])
     return words, first, rows, at
@@ -54,7 +68,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np
             sets.append(vectors.mix(code * U(64) + U(8 * kind + k)))
             owner.append(long)
     for k in (2, 3, 4):
-        m = np.clip(n - k + 1, 0, 24 if k > 2 else 12)  # n-grams of a word's first bytes; its end is an affix
+        m = np.maximum(n - k + 1, 0)
         begin = vectors.ranges(starts, m)
         code = np.zeros(len(begin), U)
         for j in range(k):
@@ -126,12 +140,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     k, rng = len(languages), np.random.default_rng(seed)
     weights, squares = np.zeros((ROWS, k), np.float32), np.full(ROWS, 1e-2, np.float32)
     steps, step_squares = np.zeros((k, k)), np.full((k, k), 1.0)
-    code = np.array([languages.index(x) for x in labels])
+    cut, owner = vectors.pieces(pa.array(texts, pa.string()))
+    texts, code = cut.to_pylist(), np.array([languages.index(x) for x in labels])[owner]
+    sizes = np.array([len(x) for x in texts])
     for epoch in range(EPOCHS):
         order = rng.permutation(len(texts))
-        for i in range(0, len(order), 64):
-            mine = order[i : i + 64]
-            words, first, rows, at = _vocabulary(pa.array([texts[j] for j in mine]))
+        # batches of 64 texts, or of fewer long ones
+        batch = np.maximum(np.cumsum(sizes[order]) // (1 << 20), np.arange(len(order)) // 64)
+        for mine in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            words, first, rows, at = _vocabulary(pa.array([texts[j] for j in mine], pa.string()))
             y = np.repeat(code[mine], np.diff(first))
             if not len(y):
                 continue
@@ -141,8 +158,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             mixed = rng.permutation(len(piece))
             half = len(piece) // 2
             take = np.concatenate([np.arange(piece[p], ends[p]) for p in mixed])
-            sizes = (ends - piece)[mixed]
-            groups = np.concatenate([np.add.reduceat(sizes[:half], np.arange(0, half, 4)) if half else sizes[:0], sizes[half:]])
+            run = (ends - piece)[mixed]
+            groups = np.concatenate([np.add.reduceat(run[:half], np.arange(0, half, 4)) if half else run[:0], run[half:]])
             words, y = words[take], y[take]
             p, pairs = forward_backward(_emissions(weights, rows, at)[words].astype(float), steps, groups, pairs=True)
             inside = np.ones(len(y), bool)
@@ -171,18 +188,24 @@ def word_languages(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     words, first, rows, at = _vocabulary(texts)
     if not len(words):
         return np.zeros((0, len(model.languages))), first
-    return forward_backward(_emissions(model.weights, rows, at)[words], model.steps.astype(np.float32), np.diff(first)[np.diff(first) > 0]), first
+    chains = np.unique(np.concatenate([first, *[np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True) if b - a > CHAIN]]))
+    return forward_backward(_emissions(model.weights, rows, at)[words], model.steps.astype(np.float32), np.diff(chains)), first
 
 
 def _predict(model):
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in vectors.slices(batches):
-            p, first = word_languages(m, b.column("text"))
-            sums = np.concatenate([np.zeros((1, len(m.languages))), np.cumsum(p, 0, dtype=float)])
-            total = sums[first[1:]] - sums[first[:-1]]
+            total, n = np.zeros((b.num_rows, len(m.languages))), np.zeros(b.num_rows, np.int64)
+            texts, owner = vectors.pieces(b.column("text"))
+            step = b.num_rows if len(texts) == b.num_rows else 1  # pieces of a long text go one at a time
+            for i in range(0, len(texts), step):
+                p, first = word_languages(m, texts.slice(i, step))
+                sums = np.concatenate([np.zeros((1, len(m.languages))), np.cumsum(p, 0, dtype=float)])
+                np.add.at(total, owner[i : i + step], sums[first[1:]] - sums[first[:-1]])
+                np.add.at(n, owner[i : i + step], np.diff(first))
             best = total.argmax(1)
-            score = np.clip(total[np.arange(len(best)), best] / np.maximum(np.diff(first), 1), 0, 1)
+            score = np.clip(total[np.arange(len(best)), best] / np.maximum(n, 1), 0, 1)
             letters = b.column("letters").to_numpy(zero_copy_only=False)
             names = [m.languages[i] if ok else "und" for i, ok in zip(best, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], names=["id", "held_out", "lang_pred", "score"])
@@ -199,14 +222,16 @@ def predictions(df: DataFrame, key: str = "doc_id", text: str = "text", label: s
     spark = df.sparkSession
     storage.ship(spark)
     held = held_out(key) if held is None else held
-    every = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label"), held.alias("held_out"))
+    every = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label"), held.alias("held_out"))
     every = every.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    labelled = every.where(F.col("label").isNotNull() & ~F.col("held_out"))
-    rows = labelled.count()
-    # a bounded sample by hash, the same one on every run
-    share = int(min(1.0, TRAIN_ROWS / max(rows, 1)) * (1 << 31))
-    chosen = F.xxhash64("id").bitwiseAND(F.lit((1 << 31) - 1)) < share
-    sample = labelled.where(chosen & F.col("letters") & (F.length("text") <= TRAIN_CHARS)).select("text", "label").collect()
+    labelled = every.where(F.col("label").isNotNull() & ~F.col("held_out") & F.col("letters"))
+    shares = labelled.groupBy("label").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+    shares = shares.collect()
+    of = [(r["label"], int(min(1.0, TRAIN_ROWS / len(shares) / r["rows"], TRAIN_CHARS / len(shares) / r["chars"]) * (1 << 31))) for r in shares]
+    shares = spark.createDataFrame(of, "label string, most long")
+    # about as many rows as wanted, the same ones on every run; of rows alike in id and text not more than the bound
+    drawn = labelled.join(storage.small(shares, len(of), 64), "label").withColumn("draw", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1))).where("draw < most")
+    sample = drawn.select("draw", "id", "text", "label").orderBy("draw", "id", "text", "label").limit(2 * TRAIN_ROWS).collect()
     if not sample:
         return every.select(F.col("id").alias(key), "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     model = spark.sparkContext.broadcast(train([r["text"] for r in sample], [r["label"] for r in sample]))

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Text bytes handled at once; temporaries take some 40 times that.
-SLICE_BYTES = 2 << 20
+#: Text bytes handled at once (a longer text is handled alone), and bytes of which prefix sums are held at once.
+SLICE_BYTES, CHUNK = 2 << 20, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -58,6 +58,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def pieces(texts: pa.Array, most: int = SLICE_BYTES // 2) -> tuple[pa.Array, np.ndarray]:
+    """(texts of at most so many characters, the row that each is of): longer ones are cut at a space, or where there is none for long, anywhere."""
+    if not len(texts) or np.diff(buffers(texts)[1]).max() <= most:
+        return texts, np.arange(len(texts))
+    out, owner = [], []
+    for i, t in enumerate(texts.to_pylist()):
+        at, t = 0, t or ""
+        while len(t) - at > most:
+            cut = t.rfind(" ", at + most // 2, at + most) + 1 or at + most
+            out.append(t[at:cut])
+            owner.append(i)
+            at = cut
+        out.append(t[at:])
+        owner.append(i)
+    return pa.array(out, pa.string()), np.array(owner)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes, one after the other, and where each begins (and the last ends); null is empty."""
     if texts.null_count:
@@ -83,11 +100,38 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _BYTES.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
-    return hashes, np.searchsorted(starts, offsets), data, starts, ends
+    del inside, first, last
+    return hashed(data, starts, ends), np.searchsorted(starts, offsets), data, starts, ends
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes starts[i] .. ends[i] - 1, for each i; both ascend."""
+    return mix(_polynomials(data, starts, ends) + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials of the bytes starts[i] .. ends[i] - 1 modulo 2**64.
+
+    Prefix sums are made CHUNK bytes at a time and read at the words' edges only, so a long text needs no more of
+    them than a short one, and a word may go on over many chunks.
+    """
+    up, down = _BYTES.get(min(len(data), CHUNK) + 1)
+    at_start, at_end, shift = np.empty(len(starts), U), np.empty(len(ends), U), np.empty(len(starts), U)
+    total, power, inverse = U(0), 1, 1
+    sums = np.zeros(min(len(data), CHUNK) + 1, U)
+    with np.errstate(over="ignore"):
+        for o in range(0, len(data), CHUNK):
+            part = data[o : o + CHUNK]
+            n = len(part)
+            np.cumsum((part.astype(U) + U(1)) * up[:n], out=sums[1 : n + 1])
+            a, b = np.searchsorted(starts, (o, o + n))
+            own = starts[a:b] - o
+            at_start[a:b], shift[a:b] = total + U(power) * sums[own], U(inverse) * down[own]
+            a, b = np.searchsorted(ends, (o, o + n), "right")
+            at_end[a:b] = total + U(power) * sums[ends[a:b] - o]
+            total += U(power) * sums[n]
+            power, inverse = power * pow(_BYTES.base, n, 1 << 64) % (1 << 64), inverse * pow(_BYTES.inverse, n, 1 << 64) % (1 << 64)
+    return (at_end - at_start) * shift
 
 
 def windows(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
