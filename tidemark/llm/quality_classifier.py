@@ -5,10 +5,12 @@ features x are each distinct word of a text, its first four, five and six bytes
 weights and divided by the root of the number of distinct words. The expected grade ranks texts; the tail
 probability P(grade >= select) decides which are taken.
 
-Training uses a sample of TRAIN_ROWS rated texts (expected number, chosen by their ids' hashes) of at most
-TRAIN_CHARS characters; all texts are scored in full. Defined cases: a null text has no words, so its score is the
-bias alone; a null rating is not learned from; an id that is rated twice counts twice; without ratings every row has
-null results and is not selected; an empty table gives an empty result; other columns are left out.
+Training uses a sample of about TRAIN_ROWS ratings, chosen by hashes of id and grade, or fewer of them so that their
+texts have about TRAIN_CHARS characters together; long texts are as likely as short ones, and all texts are scored in
+full. Defined cases: a null text has no words, so its score is the bias alone; a null rating, or one outside 0 ..
+levels - 1, is not learned from; a grade that an id has more than once counts once; rows alike in id and text count
+once in training and are scored one by one; without ratings every row has null results and is not selected; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-TRAIN_ROWS, TRAIN_CHARS = 8000, 20000
+TRAIN_ROWS, TRAIN_CHARS = 8000, 48_000_000
 ROWS = 1 << 18
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.4, 0.02
 GRADES, SELECT = 3, 2
@@ -60,6 +62,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - s[:, None], -40, 40)))
 
 
+def losses(s: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log-likelihood, its derivative by each score, by each text's thresholds) of grades at scores s."""
+    tail = 1 / (1 + np.exp(np.clip(thresholds - s[:, None], -40, 40)))
+    padded = np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], 1)
+    slope = np.concatenate([np.zeros((len(s), 1)), tail * (1 - tail), np.zeros((len(s), 1))], 1)
+    i = np.arange(len(s))
+    p = np.maximum(padded[i, grade] - padded[i, grade + 1], 1e-9)
+    by_t = np.zeros_like(tail)
+    for j in range(tail.shape[1]):  # t_j lowers tail j
+        by_t[:, j] = np.where(grade == j + 1, slope[:, j + 1], np.where(grade == j, -slope[:, j + 1], 0)) / p
+    return -np.log(p).sum(), -(slope[i, grade] - slope[i, grade + 1]) / p, by_t
+
+
 def train(texts: list[str | None], grades: list[int], levels: int = GRADES, seed: int = 5) -> Model:
     """AdaGrad on the log-likelihood with weight decay; thresholds keep their order as a first one plus positive steps."""
     rng, y = np.random.default_rng(seed), np.asarray(grades)
@@ -83,15 +98,7 @@ def train(texts: list[str | None], grades: list[int], levels: int = GRADES, seed
             s = bias + (sums[at[1:]] - sums[at[:-1]]) / n
             steps = np.exp(gaps)
             t = first + np.concatenate([[0.0], np.cumsum(steps)])
-            tail = 1 / (1 + np.exp(np.clip(t - s[:, None], -40, 40)))
-            padded = np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], 1)
-            slope = np.concatenate([np.zeros((len(s), 1)), tail * (1 - tail), np.zeros((len(s), 1))], 1)
-            i = np.arange(len(s))
-            p = np.maximum(padded[i, grade] - padded[i, grade + 1], 1e-9)
-            g = -(slope[i, grade] - slope[i, grade + 1]) / p  # of the loss, by s
-            by_t = np.zeros_like(tail)
-            for j in range(levels - 1):  # t_j lowers tail j
-                by_t[:, j] = np.where(grade == j + 1, slope[:, j + 1], np.where(grade == j, -slope[:, j + 1], 0)) / p
+            _, g, by_t = losses(s, grade, t)
             rate = RATE / (1 + epoch) ** 0.5
             gap_g = np.array([by_t[:, j + 1 :].sum() * steps[j] for j in range(levels - 2)])
             gap_squares += gap_g**2
@@ -123,13 +130,17 @@ def selection(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str
     spark = df.sparkSession
     storage.ship(spark)
     every = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    known = ratings.select(F.col(f"`{rated}`").alias("id"), F.col(f"`{grade}`").cast("int").alias("grade")).dropna()
+    known = ratings.select(F.col(f"`{rated}`").alias("id"), F.col(f"`{grade}`").cast("int").alias("grade")).dropna().where(f"grade between 0 and {levels - 1}").distinct()
     share = int(min(1.0, TRAIN_ROWS / max(known.count(), 1)) * (1 << 31))
-    chosen = known.where(F.xxhash64("id").bitwiseAND(F.lit((1 << 31) - 1)) < share)
-    sample = every.join(storage.small(chosen, TRAIN_ROWS, 24), "id").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).collect()
+    chosen = storage.materialise(known.where(F.xxhash64("id", "grade").bitwiseAND(F.lit((1 << 31) - 1)) < share), "ratings")
+    drawn = every.join(storage.small(chosen, chosen.count(), 24), "id").withColumn("draw", F.xxhash64("grade", "id", "text").bitwiseAND(F.lit((1 << 31) - 1)))
+    drawn = storage.materialise(drawn, "rated")
+    rows, chars = drawn.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share = int(min(1.0, 1.5 * TRAIN_ROWS / max(rows, 1), TRAIN_CHARS / max(chars, 1)) * (1 << 31))
+    sample = drawn.where(f"draw < {share}").select("id", "text", "grade").distinct().collect()
     if not sample:
         return every.select(F.col("id").alias(key), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(False).alias("selected"))
-    sample.sort(key=lambda r: (r["id"], r["grade"]))
+    sample.sort(key=lambda r: (r["id"], r["grade"], r["text"] or ""))
     model = spark.sparkContext.broadcast(train([r["text"] for r in sample], [r["grade"] for r in sample], levels))
     kind = every.schema["id"].dataType.simpleString()
     found = every.mapInArrow(_score(model, select), f"id {kind}, expected_grade double, tail_probability double, selected boolean")
