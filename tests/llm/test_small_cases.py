@@ -55,14 +55,6 @@ def test_quality_rules(docs, none):
     assert quality_rules.verdicts(none).count() == 0
 
 
-def test_long_texts_sort_pairs(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a b c d a b c e " * 40)], "doc_id long, text string")
-    short = rows(quality_rules.verdicts(df, order=["symbols"]), "n_repeat_words")
-    big = {k: v.replace(str(quality_rules.PACKED_WORDS), "10") for k, v in quality_rules.FIGURES.items()}
-    monkeypatch.setattr(quality_rules, "FIGURES", big)
-    assert rows(quality_rules.verdicts(df, order=["symbols"]), "n_repeat_words") == short
-
-
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     size = Counter()
