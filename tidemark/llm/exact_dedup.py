@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
+#: Rows whose fingerprints an owner has on average at most.
+OWNED = 8_000_000
 #: Bytes of a row of the tables that may be broadcast: a fingerprint, a group with its digest.
 FINGERPRINT_BYTES, GROUP_BYTES = 16, 160
 
@@ -92,7 +94,22 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = df.sparkSession
     storage.ship(spark)
     prints = storage.materialise(_prints(df, key, text), "prints")
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // OWNED))
+    with storage.scratch(spark) as keep:
+        kept = keep(_copies(df, prints, text, owners))
+    alone = F.col("n").isNull()
+    return prints.join(storage.small(kept, kept.count(), GROUP_BYTES), "sha", "left").select(
+        F.col("id").alias(key),
+        F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+        "points",
+    )
+
+
+def _copies(df: DataFrame, prints: DataFrame, text: str, owners: int) -> DataFrame:
+    """(sha, n, keep, keep_row) of each group of two rows or more."""
     answers = (
         prints.select("chunk", "print").groupBy("chunk").applyInArrow(_send(owners), "chunk int, owner int, codes binary, base bigint")
         .groupBy("owner").applyInArrow(_answer, "chunk int, owner int, bits binary")
@@ -110,16 +127,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         .select(F.sha2("t", 256).alias("sha"), "n")
     )
     best = suspects.groupBy("sha").agg(F.max(F.struct("points", (-F.col("id")).alias("minus"), (-F.col("row")).alias("minus_row"), "id", "row")).alias("best"))
-    kept = storage.materialise(best.join(verified, "sha").select("sha", "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row")), "groups")
-    alone = F.col("n").isNull()
-    return prints.join(storage.small(kept, kept.count(), GROUP_BYTES), "sha", "left").select(
-        F.col("id").alias(key),
-        F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        "points",
-    )
+    return storage.materialise(best.join(verified, "sha").select("sha", "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row")), "groups")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -283,19 +283,20 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     bits = min(64, max(24, math.ceil(math.log2(chars / 5 + 1)) + 12))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (5 * FRAGMENT)))
     answer = "message long, a binary, b binary, c binary"
-    hits = (
-        docs.mapInArrow(_probe(bits, fragments), MESSAGE)
-        .groupBy("fragment").applyInArrow(_hits(fragments), answer)
-        .groupBy("message").applyInArrow(_blocks, "k long, h long, g long, blocks array<int>")
-    )
-    hits = storage.materialise(hits.groupBy("k", "h", "g").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "hits")
-    found = (
-        _joined(docs, hits, "blocks", "inner")
-        .mapInArrow(_extend(64, fragments), MESSAGE)
-        .groupBy("fragment").applyInArrow(_judge(fragments), answer)
-        .groupBy("message").applyInArrow(_spans, "k long, h long, g long, begins array<int>, ends array<int>")
-    )
-    return storage.materialise(found.dropDuplicates(["k", "h", "g"]), "spans")
+    with storage.scratch(spark) as keep:
+        hits = (
+            docs.mapInArrow(_probe(bits, fragments), MESSAGE)
+            .groupBy("fragment").applyInArrow(_hits(fragments), answer)
+            .groupBy("message").applyInArrow(_blocks, "k long, h long, g long, blocks array<int>")
+        )
+        hits = storage.materialise(hits.groupBy("k", "h", "g").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "hits")
+        found = (
+            _joined(docs, hits, "blocks", "inner")
+            .mapInArrow(_extend(64, fragments), MESSAGE)
+            .groupBy("fragment").applyInArrow(_judge(fragments), answer)
+            .groupBy("message").applyInArrow(_spans, "k long, h long, g long, begins array<int>, ends array<int>")
+        )
+        return keep(storage.materialise(found.dropDuplicates(["k", "h", "g"]), "spans"))
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
