@@ -33,7 +33,7 @@ from . import graph, storage, vectors
 #: Words of an n-gram; a pair links if DEN * intersection >= NUM * union.
 WORDS, NUM, DEN = 5, 80, 100
 #: N-grams that a task gathers before it sends them, and that a fragment has on average at most.
-SEND, FRAGMENT = 4_000_000, 2_000_000
+SEND, FRAGMENT = 1_000_000, 2_000_000
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
 U = np.uint64
@@ -72,23 +72,33 @@ def _describe(size: int):
 
 
 def _send(size: int, bits: int, fragments: int):
-    """Messages (task's message number, fragment, ids, codes, places) of the documents' n-grams, cut to their first bits."""
+    """Messages of the documents' n-grams, cut to their first bits: (message, fragment, once, places, often, ids, counts).
 
-    def message(number: int, ids: list[np.ndarray], grams: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
-        every, place = np.concatenate(grams) >> U(64 - bits), np.concatenate(places)
+    An n-gram that one document of the message has goes with that document's place; one that several have goes
+    alone, as these are counted here already. So an n-gram that every document has costs one entry a message. A
+    message's ids and own counts travel once, in a row that no fragment reads.
+    """
+
+    def message(number: int, ids: list[np.ndarray], grams: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, place = np.concatenate(grams), np.concatenate(places)
+        every >>= U(64 - bits)
         order = np.argsort(every)
-        every, place = every[order], place[order].astype(np.uint16 if len(place) and place[-1] < 1 << 16 and place.max() < 1 << 16 else np.uint32)
-        edges = np.searchsorted(every, _bounds(bits, fragments))
-        table = np.diff(np.concatenate(ids), prepend=0).tobytes()
-        rows = []
-        for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if a < b:
-                base = _bounds(bits, fragments)[f]
-                rows.append((number, f, table, vectors.rice(every[a:b] - base, (1 << bits) // fragments + 1), place[a:b].tobytes(), place.dtype.itemsize))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)],
-            names=["message", "fragment", "ids", "codes", "places", "width"],
-        )
+        every, place = every[order], place[order]
+        same = every[1:] == every[:-1]
+        lone = ~(np.append(False, same) | np.append(same, False))
+        counts = np.bincount(place[~lone]).astype(np.uint32).tobytes()
+        often, every, place = vectors.distinct(every[~lone]), every[lone], place[lone]
+        place = place.astype(np.uint16 if len(place) and place.max() < 1 << 16 else np.uint32)
+        bounds = _bounds(bits, fragments)
+        edges, often_edges = np.searchsorted(every, bounds), np.searchsorted(often, bounds)
+        width = (1 << bits) // fragments + 1
+        rows = [(number, fragments + number % fragments, None, None, None, np.diff(np.concatenate(ids), prepend=0).tobytes(), counts)]
+        for f in np.flatnonzero((np.diff(edges) > 0) | (np.diff(often_edges) > 0)).tolist():
+            mine, many = slice(edges[f], edges[f + 1]), slice(often_edges[f], often_edges[f + 1])
+            rows.append((number, f, vectors.rice(every[mine] - bounds[f], width), place[mine].tobytes(), vectors.rice(often[many] - bounds[f], width), None, None))
+        for i in range(0, len(rows), 256):
+            columns = zip(zip(*rows[i : i + 256], strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["message", "fragment", "once", "places", "often", "ids", "counts"])
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n, docs = TaskContext.get().partitionId() << 32, 0, 0
@@ -97,13 +107,13 @@ def _send(size: int, bits: int, fragments: int):
             values, at = sets(b.column("text"), size)
             ids.append(b.column("k").to_numpy())
             grams.append(values)
-            places.append(np.repeat(np.arange(docs, docs + b.num_rows), np.diff(at)))
+            places.append(np.repeat(np.arange(docs, docs + b.num_rows, dtype=np.uint32), np.diff(at)))
             n, docs = n + len(values), docs + b.num_rows
             if n >= SEND:
-                yield message(number, ids, grams, places)
+                yield from message(number, ids, grams, places)
                 number, n, docs, ids, grams, places = number + 1, 0, 0, [], [], []
         if n:
-            yield message(number, ids, grams, places)
+            yield from message(number, ids, grams, places)
 
     return send
 
@@ -112,39 +122,42 @@ def _bounds(bits: int, fragments: int) -> np.ndarray:
     return np.array([-(-(i << bits) // fragments) for i in range(fragments + 1)], dtype=object).clip(0, (1 << 64) - 1).astype(U)
 
 
-def _count(bits: int, fragments: int):
-    """In one fragment: for each message, how many n-grams of each document another document has, too."""
+def _count(fragments: int):
+    """In one fragment: for each message, the documents' places, once for each n-gram that another message has, too."""
 
     def count(table: pa.Table) -> pa.Table:
-        values, places = [], []
-        for codes, p, width in zip(table["codes"], table["places"], table["width"], strict=True):
-            values.append(vectors.unrice(codes.as_py()))
-            places.append(np.frombuffer(p.as_py(), np.uint16 if width.as_py() == 2 else np.uint32))
-        every = np.concatenate(values)
+        if table["fragment"][0].as_py() >= fragments:
+            return table.select(["message", "ids", "counts"])
+        once = [vectors.unrice(x.as_py()) for x in table["once"]]
+        every = np.concatenate(once + [vectors.unrice(x.as_py()) for x in table["often"]])
         order = np.argsort(every)
-        ordered = every[order]
-        same = ordered[1:] == ordered[:-1]
-        shared = np.zeros(len(every), bool)
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
+        every = every[order]
+        same = every[1:] == every[:-1]
+        shared = np.empty(len(every), bool)
+        shared[order] = np.append(False, same) | np.append(same, False)
         out, at = [], 0
-        for p in places:
-            counts = np.bincount(p[shared[at : at + len(p)]])
-            out.append(counts.astype(np.uint16 if len(counts) and counts.max() < 1 << 16 else np.uint32).tobytes() + bytes([2 if len(counts) and counts.max() < 1 << 16 else 4]))
-            at += len(p)
-        return pa.table({"message": table["message"], "ids": table["ids"], "counts": pa.array(out, pa.binary())})
+        for values, places in zip(once, table["places"], strict=True):
+            place = np.frombuffer(places.as_py(), np.uint16 if len(places.as_py()) == 2 * len(values) else np.uint32)
+            out.append(place[shared[at : at + len(values)]].astype(np.uint32).tobytes())
+            at += len(values)
+        return pa.table({"message": table["message"], "ids": pa.nulls(len(out), pa.binary()), "counts": pa.array(out, pa.binary())})
 
     return count
 
 
 def _total(table: pa.Table) -> pa.Table:
-    ids = np.cumsum(np.frombuffer(table["ids"][0].as_py(), np.int64))
-    total = np.zeros(len(ids), np.int64)
-    for c in table["counts"]:
-        c = c.as_py()
-        part = np.frombuffer(c[:-1], np.uint16 if c[-1] == 2 else np.uint32)
+    """Of a message: k of each document with shared n-grams, and how many."""
+    total = np.zeros(1, np.int64)
+    for i, c in zip(table["ids"], table["counts"], strict=True):
+        part = np.frombuffer(c.as_py(), np.uint32)
+        if i.is_valid:
+            ids = np.cumsum(np.frombuffer(i.as_py(), np.int64))
+        else:
+            part = np.bincount(part)
+        if len(part) > len(total):
+            total = np.append(total, np.zeros(len(part) - len(total), np.int64))
         total[: len(part)] += part
-    some = total > 0
+    some = np.flatnonzero(total)
     return pa.table({"k": ids[some], "shared": total[some]})
 
 
@@ -183,7 +196,8 @@ def _placed(numbered: DataFrame, key: str, text: str, size: int) -> DataFrame:
     keyed = numbered.select(F.col("__row").alias("k"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     described = storage.materialise(keyed.mapInArrow(_describe(size), "k long, id long, n long, sig binary"), "sets")
     total = described.agg(F.sum("n")).first()[0] or 0
-    named = _named(spark, keyed, described, total, size)
+    with storage.scratch(spark) as keep:
+        named = keep(_named(spark, keyed, described, total, size))
     return described.join(storage.small(named, named.count(), 56), "sig", "left")
 
 
@@ -192,11 +206,11 @@ def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int)
     bits = min(64, max(24, math.ceil(math.log2(total + 1)) + 12))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT))
     shared = (
-        keyed.mapInArrow(_send(size, bits, fragments), "message long, fragment int, ids binary, codes binary, places binary, width int")
-        .groupBy("fragment").applyInArrow(_count(bits, fragments), "message long, ids binary, counts binary")
+        keyed.mapInArrow(_send(size, bits, fragments), "message long, fragment int, once binary, places binary, often binary, ids binary, counts binary")
+        .groupBy("fragment").applyInArrow(_count(fragments), "message long, ids binary, counts binary")
         .groupBy("message").applyInArrow(_total, "k long, shared long")
     )
-    left = described.join(shared, "k").where(f"shared >= {_needed('n')}")
+    left = storage.materialise(described.join(shared, "k").where(f"shared >= {_needed('n')}").select("k", "id", "n", "sig"), "left")
     chosen = storage.materialise(left.groupBy("sig").agg(F.min("k").alias("k")), "chosen")
     members = (
         keyed.join(storage.small(chosen, chosen.count(), 40), "k")
