@@ -74,10 +74,14 @@ def text_classifier(rows: DataFrame, text: str = "text", label: str = "label") -
     return Pipeline(stages=stages).fit(balanced_weights(rows, label))
 
 
+#: A Poisson weight counts how many of these shares a hash exceeds, as 32-bit numbers in hex.
+SHARES = ("5e2d58d8", "bc5ab1b1", "eb715e1d", "fb239797", "ff1025f5", "ffd90f3b")
+
+
 def bootstrap(scored: DataFrame, times: int, p: str = "p", label: str = "label") -> DataFrame:
-    """Mean and deviation of the Brier score over resamples with Poisson weights from row hashes: one pass, no copies."""
-    u = (F.pmod(F.xxhash64("row", "t"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight = sum(((u > c).cast("int") for c in (0.3678794, 0.7357589, 0.9196986, 0.9810118, 0.9963402)), F.lit(0))
+    """Mean and deviation of the Brier score over resamples with Poisson weights from hashes of row and resample: one pass, no shuffle of copies. Resamples without a row are left out."""
+    u = F.substring(F.md5(F.concat_ws(":", F.col("row").cast("string"), F.col("t").cast("string"))), 1, 8)
+    weight = sum(((u > c).cast("int") for c in SHARES), F.lit(0))
     every = scored.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight)
-    each = every.groupBy("t").agg((F.sum(F.col("w") * (F.col(p) - F.col(label).cast("double")) ** 2) / F.sum("w")).alias("brier"))
+    each = every.groupBy("t").agg(F.try_divide(F.sum(F.col("w") * (F.col(p) - F.col(label).cast("double")) ** 2), F.sum("w")).alias("brier"))
     return each.agg(F.avg("brier").alias("mean"), F.stddev_samp("brier").alias("std"))

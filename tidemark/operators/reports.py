@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_truthy
-from ..functions.stats import pearson, ranked, safe_ratio
+from ..functions.stats import pearson, safe_ratio
 from . import joins
 
 
@@ -18,9 +18,10 @@ def volatility_labels(bars: DataFrame, window: int = 6, q: float = 0.75) -> Data
     w = W.partitionBy("symbol").orderBy("ts")
     r = bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
     v = r.withColumn("vol", F.round(F.stddev_samp("ret").over(w.rowsBetween(-(window - 1), 0)), 9))
-    cuts = v.where("vol > 0").groupBy("symbol").agg(F.array_sort(F.collect_list("vol")).alias("all")).select("symbol", ranked(F.col("all"), q, "floor").alias("cut"))
+    placed = v.where("vol > 0").withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("vol"))).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
+    cuts = placed.where(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1).select("symbol", F.col("vol").alias("cut"))
     label = F.when(F.col("vol").isNull() | F.col("cut").isNull(), "n/a").when(F.col("vol") >= F.col("cut"), "high").otherwise("low")
-    return v.join(F.broadcast(cuts), "symbol", "left").select("symbol", "ts", "vol", label.alias("label"))
+    return v.join(cuts, "symbol", "left").select("symbol", "ts", "vol", label.alias("label"))
 
 
 def enriched_trend(trend: DataFrame, labels: DataFrame, bursts: DataFrame) -> DataFrame:
@@ -33,10 +34,10 @@ def enriched_trend(trend: DataFrame, labels: DataFrame, bursts: DataFrame) -> Da
 
 def interpolated(points: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Nulls of value between two known ones filled on a straight line; none at the ends."""
-    w = W.partitionBy(key).orderBy(ts)
+    w, back = (W.partitionBy(key).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc(ts), F.desc(ts)))
     t = F.unix_seconds(F.col(ts))
     known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    a, b = F.last(known, ignorenulls=True).over(w), F.last(known, ignorenulls=True).over(back)
     line = a["v"] + (b["v"] - a["v"]) * F.try_divide(t - a["t"], b["t"] - a["t"])
     return points.withColumn(value, F.coalesce(F.col(value), line))
 

@@ -225,12 +225,28 @@ def forward_price_lookup_all(s, d):
     return joins.forward_asof(left, right, "symbol", "price").select("event_id", "price")
 
 
-@query()
+#: Trades of a run at each point of g (conf, deb, hor), one after the other; nxt is the first bar from i on that is sure enough.
+TRADES = f"""{FILLED}, x as (select symbol, ts, close, (close - low) / greatest(high - low, 1e-9) * .5 + .25 as p, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from filled),
+nx as (select symbol, conf, deb, hor, i, n, min(case when p >= conf and i < n - 1 then i end) over (partition by symbol, conf, deb, hor order by i rows between current row and unbounded following) as nxt from x, g),
+f as (select symbol, conf, deb, hor, n, nxt as sig from nx where i = 0 and nxt is not null union all
+select f.symbol, f.conf, f.deb, f.hor, f.n, nx.nxt from f join nx on nx.symbol = f.symbol and nx.conf = f.conf and nx.deb = f.deb and nx.hor = f.hor and nx.i = least(f.sig + 1 + f.hor, f.n - 1) + f.deb where nx.nxt is not null),
+r as (select f.symbol, f.conf, f.deb, f.hor, sig, b.close / a.close - 1 - .0006 as r from f join x a on a.symbol = f.symbol and a.i = sig + 1 join x b on b.symbol = f.symbol and b.i = least(sig + 1 + f.hor, f.n - 1)),
+q as (select *, product(1 + r) over (partition by symbol, conf, deb, hor order by sig) as eq from r),
+m as (select *, eq / greatest(1, max(eq) over (partition by symbol, conf, deb, hor order by sig)) - 1 as dd from q),
+t as (select symbol, conf, deb, hor, count(*) as trades, avg((r > 0)::int) as win_rate, coalesce(sum(r) filter (r > 0), 0) / coalesce(nullif(-sum(r) filter (r < 0), 0), 1) as profit_factor, least(0, min(dd)) as max_drawdown, arg_max(eq, sig) as equity from m group by 1, 2, 3, 4),
+o as (select s.symbol, g.conf, g.deb, g.hor, coalesce(trades, 0) as trades, coalesce(win_rate, 0) as win_rate, coalesce(profit_factor, 0) as profit_factor, coalesce(max_drawdown, 0) as max_drawdown, coalesce(equity, 1) as equity
+from (select distinct symbol from x) s, g left join t on t.symbol = s.symbol and t.conf = g.conf and t.deb = g.deb and t.hor = g.hor)"""
+FIGURES = ("win_rate", "profit_factor", "max_drawdown", "equity")
+
+
+@query(f"with recursive g as (select .7 as conf, 10 as deb, 3 as hor), {TRADES} select symbol, trades, {', '.join(f'round({c}, 6) as {c}' for c in FIGURES)} from o")
 def stateful_backtest(s, d):
-    return market.backtest(predicted(s, d), 0.7, 10, 3)
+    return market.backtest(predicted(s, d), 0.7, 10, 3).select("symbol", "trades", *[F.round(c, 6).alias(c) for c in FIGURES])
 
 
-@query()
+@query(f"""with recursive g as (select * from (values (.6), (.7)) a(conf), (values (5), (10)) b(deb), (values (2), (3)) c(hor)), {TRADES},
+w as (select cast(conf as double) as conf, deb as debounce, hor as horizon, cast(sum(trades) as bigint) as trades, round(coalesce(sum(win_rate * trades) / nullif(sum(trades), 0), 0), 6) as win_rate, round(coalesce(sum(profit_factor * trades) / nullif(sum(trades), 0), 0), 6) as profit_factor, round(min(max_drawdown), 6) as max_drawdown from o group by 1, 2, 3)
+select *, row_number() over (order by trades >= 50 desc, profit_factor desc, max_drawdown, conf, debounce, horizon) as place from w""")
 def threshold_grid_search(s, d):
     return market.tuned(market.grid_search(predicted(s, d), [(c, b, h) for c in (0.6, 0.7) for b in (5, 10) for h in (2, 3)]), 50)
 

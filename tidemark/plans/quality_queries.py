@@ -173,17 +173,39 @@ def dynamic_threshold(s, d):
     return quality.dynamic_threshold(R.history(s, d), NOW, 48, 0.9, 30)
 
 
-@query()
+def _chains(right: str) -> str:
+    """SQL: rows of both sides numbered within stretches that no gap of over 300 seconds cuts; kind 0 is feedback or a candidate."""
+    return f"""{HISTORY}, b0 as (select origin, epoch_us(ts) as t, 0 as kind, event_id as id from {right} union all select origin, epoch_us(ts), 1, event_id from history {"where decision" if right == "candidates" else ""}),
+b1 as (select *, t - lag(t) over (partition by origin order by t, kind, id) > 300000000 as gap from b0), b2 as (select *, sum(coalesce(gap, false)::int) over (partition by origin order by t, kind, id) as c from b1),
+b as (select origin, c, t, kind, id, row_number() over (partition by origin, c, kind order by t, id) as i from b2)"""
+
+
+def _greedy(mine: int, near: str) -> str:
+    """SQL: mine's rows of a chain take others one after the other; near orders the others x that row a may take."""
+    return f"""with recursive {_chains("feedback")}, o as (select origin, c, list(struct_pack(i := i, t := t, id := id) order by i) as xs from b where kind = {1 - mine} group by 1, 2),
+m as (select b.origin, b.c, b.i, b.t, b.id, xs, len(list_filter(xs, lambda x: x.t < b.t)) as below from b join o on b.origin = o.origin and b.c = o.c where kind = {mine}),
+f as (select origin, c, 0 as i, cast([] as bigint[]) as used, cast(null as bigint) as id, cast(null as bigint) as other from (select distinct origin, c from m) union all
+select f.origin, f.c, m.i, case when best is null then used else list_append(used, best.i) end, m.id, best.id from f join m on m.origin = f.origin and m.c = f.c and m.i = f.i + 1,
+lateral (select list_sort(list_transform(list_filter(xs, lambda x: not list_contains(used, x.i) and abs(x.t - m.t) <= 300000000 {near}),
+lambda x: struct_pack(d := abs(x.t - m.t), s := case when x.i <= below then 0 else 1 end, k := case when x.i <= below then -x.i else x.i end, i := x.i, id := x.id)))[1] as best))
+select origin, {"id as label_id, other as decision_id" if mine == 0 else "other as label_id, id as decision_id"} from f where other is not null"""
+
+
+@query(_greedy(1, ""))
 def greedy_match_by_trigger(s, d):
     return quality.greedy_by_trigger(R.feedback(s, d), R.history(s, d))
 
 
-@query()
+@query(_greedy(0, "and x.i between below and below + 1"))
 def greedy_match_by_label(s, d):
     return quality.greedy_by_label(R.feedback(s, d), R.history(s, d))
 
 
-@query()
+@query(f"""with recursive {_chains("candidates")}, f as (select distinct origin, c, 1 as i, 1 as j, 0 as n from b union all
+select f.origin, f.c, case when abs(x.t - y.t) <= 300000000 or x.t < y.t then f.i + 1 else f.i end, case when abs(x.t - y.t) <= 300000000 or x.t >= y.t then f.j + 1 else f.j end, f.n + (abs(x.t - y.t) <= 300000000)::int
+from f join b x on x.origin = f.origin and x.c = f.c and x.kind = 0 and x.i = f.i join b y on y.origin = f.origin and y.c = f.c and y.kind = 1 and y.i = f.j),
+m as (select origin, sum(n) as matched from (select origin, c, max(n) as n from f group by 1, 2) group by 1), k as (select origin, count(*) filter (kind = 0) as candidates from b group by 1)
+select origin, candidates, cast(matched as bigint) as matched, round(coalesce(matched / nullif(candidates, 0), 0), 4) as coverage, case when coalesce(matched / nullif(candidates, 0), 0) >= .15 then 'High' when coalesce(matched / nullif(candidates, 0), 0) >= .05 then 'Medium' else 'Low' end as level from m join k using (origin)""")
 def coverage_summary(s, d):
     return quality.two_pointer_matches(R.candidates(s, d), R.history(s, d).where("decision"))
 

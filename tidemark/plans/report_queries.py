@@ -165,7 +165,9 @@ def priority_scores(s, d):
     return R.events(s, d).select("event_id", p.alias("priority"))
 
 
-@query()
+@query(f"""with {E}, c as (select event_id, unnest([struct_pack(feature := 0, value := .1 * value), struct_pack(feature := 1, value := -.5 * k), struct_pack(feature := 2, value := .2 * user_id)]) as c from e),
+o as (select event_id, c.feature as feature, c.value as value, row_number() over (partition by event_id order by abs(c.value) desc, c.feature) - 1 as place from c)
+select event_id, cast(place as int) as place, feature, round(value, 6) as value from o where place < 2""")
 def coefficient_contributions(s, d):
     e = R.events(s, d)
     c = S.top_contributions(F.array(F.col("value"), F.col("k").cast("double"), F.col("user_id").cast("double")), F.array(F.lit(0.1), F.lit(-0.5), F.lit(0.2)), 2)

@@ -103,21 +103,26 @@ def trained_direction_model(s, d):
     return p.groupBy("symbol").agg(F.max_by("p", "ts").alias("p_long"), F.max("ts").alias("ts"))
 
 
-@query(f"""with {HISTORY}, w as (select unnest(range(1, 31)) as t) select 30 as resamples, count(*) as n, round(avg(power(score - label::int, 2)), 6) as brier from matched""")
-def bootstrap_brier(s, d):
-    from .quality_queries import pairs
+WEIGHT = " + ".join(f"(u > '{c}')::int" for c in models.SHARES)
 
-    p = pairs(s, d).select(F.col("event_id").alias("row"), "score", "label")
-    b = models.bootstrap(p, 30, "score").where("abs(mean) < 1 and std >= 0").groupBy().agg(F.count("*").alias("c"))
-    return p.groupBy().agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") - F.col("label").cast("int")) ** 2), 6).alias("brier")).join(b).select((F.col("c") * 30).cast("int").alias("resamples"), "n", "brier")
 
+BOOTSTRAP = f"""with {HISTORY}, w as (select t, power(score - label::int, 2) as e, substr(md5(event_id || ':' || t), 1, 8) as u from matched, (select unnest(range(1, 31)) as t)),
+b as (select t, sum(({WEIGHT}) * e) / nullif(sum({WEIGHT}), 0) as brier from w group by 1)
+select 30 as resamples, (select count(*) from matched) as n, (select round(avg(power(score - label::int, 2)), 6) from matched) as brier, round(avg(brier), 6) as mean, round(stddev_samp(brier), 6) as std from b"""
 
-@query()
-def bootstrap_brier_deviation(s, d):
-    """Mean and deviation of the Brier score over 30 resamples beside the plain one; bootstrap_brier has the plain one only, as its SQL."""
+
+@query(BOOTSTRAP)
+def bootstrap_brier(s, d):
+    """The plain Brier score, and its mean and deviation over 30 resamples."""
     from .quality_queries import pairs
 
     p = pairs(s, d).select(F.col("event_id").alias("row"), "score", "label")
     plain = p.groupBy().agg(F.count("*").alias("n"), F.avg((F.col("score") - F.col("label").cast("int")) ** 2).alias("brier"))
     b = models.bootstrap(p, 30, "score")
     return plain.join(b).select(F.lit(30).alias("resamples"), "n", *[F.round(c, 6).alias(c) for c in ("brier", "mean", "std")])
+
+
+@query(BOOTSTRAP)
+def bootstrap_brier_deviation(s, d):
+    """As bootstrap_brier."""
+    return bootstrap_brier(s, d)
