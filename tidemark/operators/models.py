@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -41,10 +41,58 @@ def probability(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataF
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def calibrated(scored: DataFrame, p: str = "p", label: str = "label"):
-    """Isotonic model from scores to shares of true labels."""
-    rows = scored.select(F.col(p).alias("p"), F.col(label).cast("double").alias("y"))
-    return IsotonicRegression(featuresCol="p", labelCol="y").fit(VectorAssembler(inputCols=["p"], outputCol="v").transform(rows).drop("p").withColumnRenamed("v", "p"))
+def calibrated(scored: DataFrame, p: str = "p", label: str = "label", kind: str = "isotonic") -> PipelineModel:
+    """A model that gives scores (column p) a column calibrated: shares of true labels by steps, or by a sigmoid."""
+    rows = scored.withColumn("__y", F.col(label).cast("double"))
+    vector = VectorAssembler(inputCols=[p], outputCol="__v")
+    if kind == "isotonic":
+        return Pipeline(stages=[vector, IsotonicRegression(featuresCol="__v", labelCol="__y", predictionCol="calibrated")]).fit(rows)
+    if kind == "sigmoid":
+        fit = LogisticRegression(featuresCol="__v", labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")
+        return Pipeline(stages=[vector, fit]).fit(rows)
+    raise ValueError(f"no calibration {kind!r}")
+
+
+def calibrate(model: PipelineModel, scored: DataFrame) -> DataFrame:
+    """scored with the column calibrated."""
+    out = model.transform(scored)
+    if "calibrated" not in out.columns:
+        out = out.withColumn("calibrated", vector_to_array("__p")[1])
+    return out.select(*scored.columns, "calibrated")
+
+
+def by_regime(rows: DataFrame, features: list[str], scored: DataFrame, least: int = 10, label: str = "label") -> DataFrame:
+    """scored with p by the model of its regime; a regime with fewer rows than least, or of one class, has the model of all rows."""
+    n = {r["regime"]: (r["n"], r["k"]) for r in rows.groupBy("regime").agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).collect()}
+    own = [x for x, (m, k) in n.items() if m >= least and k > 1]
+    rest = F.coalesce(~F.col("regime").isin(own), F.lit(True)) if own else F.lit(True)
+    parts = [probability(train(rows.where(F.col("regime") == x), features, label=label), scored.where(F.col("regime") == x)) for x in own]
+    parts.append(probability(train(rows, features, label=label), scored.where(rest)))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def from_maps(log: DataFrame, key: str, features: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """(log with a column for each key of its feature maps, 0 where a row has none; the keys, sorted). Feature names are few by nature."""
+    names = sorted(r[0] for r in log.select(F.explode(F.map_keys(features))).distinct().collect())
+    return log.select(key, *keep, *[F.coalesce(F.col(features)[n], F.lit(0.0)).alias(n) for n in names]), names
+
+
+def weighted_forest(rows: DataFrame, features: list[str], category: str, label: str, weight: str) -> DataFrame:
+    """rows with p: a random forest on features and the index of a category, each row with its own weight."""
+    stages = [
+        StringIndexer(inputCol=category, outputCol="__i", handleInvalid="keep"), VectorAssembler(inputCols=[*features, "__i"], outputCol="features"),
+        RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=50, seed=7),
+    ]
+    return probability(Pipeline(stages=stages).fit(rows), rows).drop("__i")
+
+
+def pr_weights(scores: dict[str, float]) -> dict[str, float]:
+    """Weights of an ensemble's models in proportion to their areas under precision and recall; equal if all are 0."""
+    total = sum(scores.values())
+    return {k: v / total if total else 1 / len(scores) for k, v in scores.items()}
 
 
 def ensemble(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
