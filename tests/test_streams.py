@@ -59,3 +59,36 @@ def test_cooldown_without_alerts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     raw = spark.readStream.schema("symbol string, ts timestamp, event_id long, move double").parquet(f"file://{tmp_path}/in")
     assert streams.run_cooled(raw, f"file://{tmp_path}/out", 30, 2.0).count() == 0
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    """A second batch with an hour that closed long ago and one that did not: the closed one's count stays as it was."""
+    d, hour = str(tmp_path / "in"), lambda i, h, m=0: (i, T0 + datetime.timedelta(hours=h, minutes=m), 1, "a", 1.0, "{}")
+    (tmp_path / "in").mkdir()
+    batches = [[hour(1, 0), hour(2, 0, 5), hour(3, 30)], [hour(4, 0, 10), hour(5, 30, 1), hour(6, 29, 30)], [hour(7, 60)]]
+    for rows in batches:
+        events(spark, d, rows)
+        raw = spark.readStream.schema(streams.EVENTS).parquet(d).withColumn("ts", streams.F.col("ts").cast("timestamp"))
+        got = streams.run_available(streams.tumbling(raw), f"file://{tmp_path}/out")
+    found = {(x["bucket"].replace(tzinfo=None) - T0).total_seconds() / 3600: x["n"] for x in got.collect()}
+    assert found == {0: 2, 30: 2, 29: 1}
+
+
+def test_ingest_appends_what_comes(spark, tmp_path):
+    d = str(tmp_path / "in")
+    events(spark, d, random_rows(4, 0, 0))
+    raw = spark.readStream.schema(streams.EVENTS).parquet(d)
+    for k in (1, 2):
+        q = streams.append_parquet(raw, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "0 seconds")
+        q.processAllAvailable()
+        q.stop()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 60 * k
+        if k == 1:
+            events(spark, d, random_rows(5, 100, 0))
+
+
+def test_no_rows_yet(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw = spark.readStream.schema(streams.EVENTS).parquet(f"file://{tmp_path}/in").withColumn("ts", streams.F.col("ts").cast("timestamp"))
+    for mode in ("append", "complete"):
+        assert streams.run_available(streams.tumbling(raw), f"file://{tmp_path}/{mode}", mode).count() == 0

@@ -58,7 +58,7 @@ def zscored(bars: DataFrame, column: str, name: str) -> DataFrame:
 def high_vol(bars: DataFrame, q: float = 0.9) -> DataFrame:
     """Flag of volatility at or above the series' quantile; the quantile is joined back, one row a symbol."""
     cuts = bars.groupBy("symbol").agg(F.percentile("vol", q).alias("cut"))
-    return bars.join(F.broadcast(cuts), "symbol").withColumn("high_vol", (F.col("vol") >= F.col("cut")).cast("int")).drop("cut")
+    return bars.join(cuts, "symbol").withColumn("high_vol", (F.col("vol") >= F.col("cut")).cast("int")).drop("cut")
 
 
 def price_burst(bars: DataFrame) -> DataFrame:

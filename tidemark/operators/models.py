@@ -16,7 +16,7 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """weight: rows of each class weigh as much together as those of the other."""
     n = rows.groupBy(label).agg(F.count("*").alias("__c"))
     total = rows.count()
-    return rows.join(F.broadcast(n), label).withColumn("weight", F.lit(total) / (2 * F.col("__c"))).drop("__c")
+    return rows.join(n, label).withColumn("weight", F.lit(total) / (2 * F.col("__c"))).drop("__c")
 
 
 def classifier(kind: str, features: str = "features", label: str = "label"):

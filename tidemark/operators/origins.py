@@ -78,7 +78,7 @@ def volatility_regimes(events: DataFrame, start: str, end: str, interval: str, l
 def correlations(events: DataFrame, interval: str) -> DataFrame:
     """Pearson of each two origins' counts over all buckets that any origin has, zeros filled."""
     have = grid.counts(events, interval)
-    dense = have.select("bucket").distinct().crossJoin(F.broadcast(have.select("origin").distinct())).join(have, ["origin", "bucket"], "left").fillna(0, ["n"])
+    dense = have.select("bucket").distinct().crossJoin(have.select("origin").distinct()).join(have, ["origin", "bucket"], "left").fillna(0, ["n"])
     wide = dense.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("origin", "n"))).alias("x"))
     pairs = wide.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.origin < b.origin")
     r = pearson(F.col("a.n").cast("double"), F.col("b.n").cast("double"))
@@ -89,7 +89,7 @@ def lead_lag(events: DataFrame, interval: str, max_lag: int, top: int = 20) -> D
     """For each ordered pair of the busiest origins, the lag with the largest |r|; the most negative wins a tie."""
     have = grid.counts(events, interval)
     busy = have.groupBy("origin").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "origin").limit(top).select("origin")
-    have = have.join(F.broadcast(busy), "origin", "left_semi")
+    have = have.join(busy, "origin", "left_semi")
     b = have.select("bucket", F.col("origin").alias("b"), F.col("n").alias("nb"))
     step = 3600 if interval == "hour" else 86400
     pairs = joins.lagged(have.select("bucket", F.col("origin").alias("a"), F.col("n").alias("na")), b, [], step, max_lag).where("a <> b")

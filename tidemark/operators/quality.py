@@ -125,7 +125,7 @@ def score_bins(scored: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
 
 def threshold_quality(pairs: DataFrame, thresholds: DataFrame | None = None, default: float = 0.5) -> DataFrame:
     """Scores of each origin at its threshold."""
-    t = pairs.withColumn("threshold", F.lit(default)) if thresholds is None else pairs.join(F.broadcast(thresholds), "origin", "left").fillna(default, ["threshold"])
+    t = pairs.withColumn("threshold", F.lit(default)) if thresholds is None else pairs.join(thresholds, "origin", "left").fillna(default, ["threshold"])
     return _scored(t.groupBy("origin", "threshold").agg(*_confusion(F.col("score") >= F.col("threshold"), F.col("label"))), "origin", "threshold")
 
 

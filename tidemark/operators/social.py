@@ -55,7 +55,7 @@ def keyword_hits(posts: DataFrame, keywords: dict[str, tuple[str, ...]]) -> Data
 
 def lexicon_score(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sum of the words' weights over the root of its square plus 15, in [-1, 1]; posts without a known word have 0."""
-    hits = posts.select("id", F.explode(plain_tokens(F.col("text"))).alias("word")).join(F.broadcast(lexicon), "word")
+    hits = posts.select("id", F.explode(plain_tokens(F.col("text"))).alias("word")).join(lexicon, "word")
     total = hits.groupBy("id").agg(F.sum("weight").alias("s"))
     return posts.select("id").join(total, "id", "left").select("id", F.round(F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)), 6).alias("score"))
 

@@ -206,25 +206,25 @@ def alert_cooldown(s, d):
     return market.cooldown(alerts(s, d)).select("symbol", "event_id")
 
 
-@query(f"""with {TICKS}, l as (select event_id, event_type as symbol, ts from e where k < 5), p as (select symbol, ts as r_ts, price from ticks where event_id % 7 = 0),
-n as (select l.event_id, (select min((r_ts, price)) from p where p.symbol = l.symbol and p.r_ts >= l.ts) as a, (select max((r_ts, price)) from p where p.symbol = l.symbol) as z from l)
-select event_id, coalesce(a[2], z[2]) as price from n""".replace("min((r_ts, price))", "arg_min(price, r_ts)").replace("max((r_ts, price))", "arg_max(price, r_ts)").replace("coalesce(a[2], z[2])", "coalesce(a, z)"))
-def forward_price_lookup(s, d):
-    left = R.events(s, d).where("k < 5").select("event_id", F.col("event_type").alias("symbol"), "ts")
-    right = R.ticks(s, d).where("event_id % 7 = 0").select("symbol", F.col("ts").alias("r_ts"), "price")
-    return joins.forward_asof(left, right, "symbol", "price").select("event_id", "price")
+LOOKUP = f"""with {TICKS}, z as (select symbol, max(ts) as last, arg_max(price, (ts, price)) as price from ticks group by 1), p as (select symbol, ts as r_ts, min(price) as price from ticks group by 1, 2),
+l as (select event_id, event_type as symbol, ts from e)
+select event_id, coalesce(p.price, z.price) as price from l asof left join p on l.symbol = p.symbol and l.ts <= p.r_ts left join z on l.symbol = z.symbol"""
 
 
-@query(f"""with {TICKS}, z as (select symbol, max(ts) as last, arg_max(price, (ts, price)) as price from ticks group by 1), p as (select symbol, ts as r_ts, min(price) as price from ticks group by 1, 2),
-l as (select event_id, event_type as symbol, ts from e)
-select event_id, coalesce(p.price, z.price) as price from l asof left join p on l.symbol = p.symbol and l.ts <= p.r_ts left join z on l.symbol = z.symbol""")
-def forward_price_lookup_all(s, d):
-    """Every event against every tick; forward_price_lookup asks for a part of the events and ticks, as its SQL."""
+@query(LOOKUP)
+def forward_price_lookup(s, d):
+    """Every event against every tick."""
     left = R.events(s, d).select("event_id", F.col("event_type").alias("symbol"), "ts")
     right = R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price")
     return joins.forward_asof(left, right, "symbol", "price").select("event_id", "price")
 
 
+@query(LOOKUP)
+def forward_price_lookup_all(s, d):
+    """As forward_price_lookup."""
+    return forward_price_lookup(s, d)
+
+
 #: Trades of a run at each point of g (conf, deb, hor), one after the other; nxt is the first bar from i on that is sure enough.
 TRADES = f"""{FILLED}, x as (select symbol, ts, close, (close - low) / greatest(high - low, 1e-9) * .5 + .25 as p, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from filled),
 nx as (select symbol, conf, deb, hor, i, n, min(case when p >= conf and i < n - 1 then i end) over (partition by symbol, conf, deb, hor order by i rows between current row and unbounded following) as nxt from x, g),

@@ -134,21 +134,22 @@ def paper_intents(s, d):
     return signals(s, d).withColumn("reason", reason).where("reason in ('flip', 'deadband') and conf >= 0.6").groupBy("symbol", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {SIG}, p as (select symbol, ts as r_ts, price from ticks), en as (select symbol, event_id, ts, case direction when 'long' then 1 else -1 end as side from sig where event_id % 50 = 0),
+@query(f"""with {SIG}, p as (select symbol, ts as r_ts, min(price) as price from ticks group by 1, 2), z as (select symbol, arg_max(price, (ts, price)) as price from ticks group by 1), en as (select symbol, event_id, ts, case direction when 'long' then 1 else -1 end as side from sig),
 q as (select symbol, event_id, side, i, make_timestamp(cast(epoch_us(ts) + i * 720000000 as bigint)) as at from en, (select unnest(range(0, 11)) as i)),
-x as (select q.*, coalesce((select arg_min(price, r_ts) from p where p.symbol = q.symbol and p.r_ts >= q.at), (select arg_max(price, r_ts) from p where p.symbol = q.symbol)) as price from q),
+x as (select q.*, coalesce(p.price, z.price) as price from q asof left join p on p.symbol = q.symbol and q.at <= p.r_ts left join z on z.symbol = q.symbol),
 m as (select *, side * (price / first_value(price) over (partition by event_id order by i) - 1) as move from x)
 select symbol, event_id, round(coalesce(arg_min(move, i) filter (move <= -.2), arg_max(move, i)) - .001, 6) as pnl_pct, count(*) filter (move <= -.2) > 0 as stopped from m group by 1, 2""")
 def paper_trades(s, d):
+    """Every signal."""
     from .market_queries import signals
 
-    entries = signals(s, d).where("event_id % 50 = 0").withColumn("side", F.when(F.col("direction") == "long", 1).otherwise(-1))
+    entries = signals(s, d).withColumn("side", F.when(F.col("direction") == "long", 1).otherwise(-1))
     return reports.paper_trades(entries, R.ticks(s, d).select("symbol", F.col("ts").alias("r_ts"), "price"), 2, 0.001, 0.2).drop("ts")
 
 
 @query()
 def paper_trades_equity(s, d):
-    """Every signal simulated, and each symbol's compounded equity; paper_trades has one signal in fifty, as its SQL."""
+    """Every signal simulated, and each symbol's compounded equity."""
     from .market_queries import signals
 
     entries = signals(s, d).withColumn("side", F.when(F.col("direction") == "long", 1).otherwise(-1))

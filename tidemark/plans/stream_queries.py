@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import market, models
@@ -12,6 +9,7 @@ from ..sources import sinks
 from ..streaming import streams
 from . import market_queries
 from . import roles as R
+from .insight_queries import folder
 from .market_queries import filled
 from .roles import E, FILLED, HISTORY
 
@@ -28,16 +26,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _place(s) -> tuple[str, str]:
-    """A new name and its folder."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
-    name = f"stream_{uuid.uuid4().hex}"
-    return name, f"{base}/{name}"
-
-
 def _run(s, stream, mode="complete"):
-    name, folder = _place(s)
-    return streams.run_available(stream, name, folder, mode)
+    return streams.run_available(stream, folder(s), mode)
 
 
 @query(f"with {E} select event_type as origin, cast(date_trunc('hour', ts) as timestamp) as bucket, count(*) as n from e group by 1, 2")
@@ -59,16 +49,27 @@ def streamed_dedup(s, d):
 def streamed_cooldown(s, d):
     e = streams.events(s, d)
     a = e.select("event_id", F.col("event_type").alias("symbol"), "ts", (F.col("value") / 10).alias("move"), F.get_json_object("props", "$.k").cast("double").alias("volume")).where("move >= 7 and volume >= 10")
-    return streams.run_cooled(a, _place(s)[1], 30, 2.0).select("symbol", "event_id")
+    return streams.run_cooled(a, folder(s), 30, 2.0).select("symbol", "event_id")
 
 
-@query(f"with {HISTORY} select f.event_id, h.event_id as h_id from feedback f join history h on f.origin = h.origin and abs(epoch_us(f.ts) - epoch_us(h.ts)) <= 300000000")
-def streamed_label_join(s, d):
+def _label_pairs(s, d):
     def part(kind, ts, key, id_):
         e = streams.events(s, d).where(F.col("event_type") == kind)
         return e.select(F.concat(F.lit("o"), F.col("user_id") % 3).alias(key), F.col("ts").alias(ts), F.col("event_id").alias(id_))
 
-    return _run(s, streams.labels_with_decisions(part("purchase", "ts", "origin", "event_id"), part("click", "r_ts", "r_origin", "h_id")), "append").select("event_id", "h_id")
+    return _run(s, streams.labels_with_decisions(part("purchase", "ts", "origin", "event_id"), part("click", "r_ts", "r_origin", "h_id")), "append")
+
+
+@query(f"with {HISTORY} select f.event_id, h.event_id as h_id from feedback f join history h on f.origin = h.origin and abs(epoch_us(f.ts) - epoch_us(h.ts)) <= 300000000")
+def streamed_label_join(s, d):
+    return _label_pairs(s, d).select("event_id", "h_id")
+
+
+@query(f"with {HISTORY} select event_id, h_id from matched")
+def streamed_nearest_label(s, d):
+    """Of the pairs that the streams' join has written, each label's nearest."""
+    gap = F.abs(F.unix_micros("ts") - F.unix_micros("r_ts"))
+    return _label_pairs(s, d).groupBy("event_id").agg(F.min_by("h_id", F.struct(gap, "r_ts", "h_id")).alias("h_id"))
 
 
 @query(f"with {E} select event_id, event_type from e where event_id % 2 = 1")

@@ -69,11 +69,26 @@ def run_cooled(stream: DataFrame, folder: str, minutes: int, differ: float) -> D
     return spark.read.schema(f"{schema}, {new}, n long").parquet(f"{folder}/kept").where("__new").drop("__new", "n")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory (for tests and parity with batch)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and reads what it wrote to folder: the rows of all micro-batches, or in complete mode of the last.
+
+    folder is shared by driver and executors; a batch that is run again overwrites what it wrote.
+    """
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/micro_batch={n}")
+
+    q = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch yet
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out").drop("micro_batch")
+    if mode == "complete":
+        names = [x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+        out = spark.read.schema(stream.schema).parquet(f"{folder}/out/micro_batch={max(int(x.split('=')[1]) for x in names if '=' in x)}")
+    return out
 
 
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, every: str = "600 seconds"):
