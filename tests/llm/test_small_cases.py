@@ -197,23 +197,78 @@ def test_maxent_lm(docs, none):
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert maxent_lm.scores(none).count() == 0
     untrained = maxent_lm.scores(docs.where(maxent_lm.held_out("doc_id"))).collect()
-    assert untrained and all(math.isfinite(r["score"]) and r["score"] == r["base_score"] == r["n_known"] == r["train_tokens"] == 0 for r in untrained)  # the unknown word alone is left
+    assert untrained and all(abs(r["base_score"]) < 1e-9 and r["n_known"] == r["train_tokens"] == 0 for r in untrained)  # the unknown word alone is left
+    assert all(r["score"] == pytest.approx(-r["n_tokens"] * math.log10(maxent_lm.TAILS)) for r in untrained)
 
 
-def test_maxent_lm_sums_to_one():
+def small_model(monkeypatch, rng, n=300):
+    """A model of n words with random counts, clusters and weights, few of them in the head; and the tails' words with counts."""
+    monkeypatch.setattr(maxent_lm, "WIDTH", 4)
+    monkeypatch.setattr(maxent_lm, "CLUSTERS", 2)
+    monkeypatch.setattr(maxent_lm, "TAILS", 2)
+    hashes = (rng.integers(1, 1 << 60, n).astype(np.uint64) << np.uint64(3)) | rng.integers(0, 2, n).astype(np.uint64)
+    counts = np.sort(rng.integers(1, 50, n))[::-1]
+    head, tail = slice(0, n - 60), slice(n - 60, n)
+    tails = np.bincount((hashes[tail] & np.uint64(7)).astype(int), counts[tail] + 0.5, minlength=2) + 0.5
+    m = maxent_lm.Model(hashes[head], counts[head], int(counts.sum()), n, tails)
+    m.set_clusters(rng.random((n - 60, maxent_lm.SEEDS)))
+    return m, hashes, counts, tail
+
+
+def test_maxent_lm_sums_to_one(monkeypatch):
     rng = np.random.default_rng(2)
-    hashes = np.append(rng.integers(1, 1 << 63, 60).astype(np.uint64), maxent_lm.END)
-    m = maxent_lm.Model(hashes, rng.integers(1, 50, 61), 1000, 70, 9.0)
-    m.cluster(rng.random((61, maxent_lm.SEEDS)))
-    k, h = m.n_classes, len(m.head_at)
-    m.fit_words(rng.random((k, h)), rng.random((k, h)), rng.random((maxent_lm.CLUSTERS, k, k)))
-    m.weights[:] = rng.normal(size=m.weights.shape)
-    total = 0.0
-    for x in hashes:
-        log, _, _ = m.logs(np.array([hashes[3], hashes[5], x]), np.array([0, 3]))
-        total += math.exp(log[2])
-    log, _, _ = m.logs(np.array([hashes[3], hashes[5], np.uint64(1)]), np.array([0, 3]))
-    assert math.isclose(total + math.exp(log[2]), 1.0, rel_tol=1e-3)
+    m, hashes, counts, tail = small_model(monkeypatch, rng)
+    text = lambda x: (np.array([hashes[3], hashes[5], x]), np.array([0, 3]))
+    for weights in (0.0, 1.0):
+        m.weights[:] = weights * rng.normal(size=m.weights.shape)
+        heads = sum(math.exp(m.logs(*text(x))[2]) for x in hashes[: tail.start])
+        tails = sum(math.exp(m.logs(*text(x))[2]) * (c + 0.5) for x, c in zip(hashes[tail], counts[tail], strict=True))
+        unknown = sum(math.exp(m.logs(*text(np.uint64(8 * 12345 + t)))[2]) * 0.5 for t in (0, 1))
+        assert math.isclose(heads + tails + unknown, 1.0, rel_tol=1e-4)
+        if not weights:  # without weights, a word's probability is its share of the counts
+            mass = counts.sum() + 0.5 * len(counts) + 1.0
+            assert all(math.isclose(math.exp(m.logs(*text(x))[2]), (c + 0.5) / mass, rel_tol=1e-3) for x, c in zip(hashes[: tail.start], counts, strict=False))
+
+
+def test_maxent_lm_step_follows_the_gradient(monkeypatch):
+    """One small step over a text changes the weights along the finite differences of its log-probability."""
+    rng = np.random.default_rng(4)
+    m, hashes, *_ = small_model(monkeypatch, rng)
+    m.weights[:] = 0.3 * rng.normal(size=m.weights.shape)
+    found, at = rng.choice(hashes, 40), np.array([0, 40])
+    one, two = maxent_lm._before(found, at)
+    grads = np.zeros(m.weights.shape)
+    for _, node, taken, rows in m.levels(found, maxent_lm._features(one, two)):
+        x = maxent_lm._scores(m.weights, m.bias, node, rows)
+        x = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+        x[np.arange(len(taken)), taken] -= 1
+        ids, _, g = maxent_lm._by_row(x, rows)
+        np.add.at(grads, ids, g)
+    m.weights = m.weights.astype(float)
+    for r, c in zip(*np.nonzero(np.abs(grads) > 0.05), strict=True):
+        ends = []
+        for e in (1e-3, -1e-3):
+            m.weights[r, c] += e
+            ends.append(m.logs(found, at).sum())
+            m.weights[r, c] -= e
+        assert math.isclose(-grads[r, c], (ends[0] - ends[1]) / 2e-3, abs_tol=2e-2)
+
+
+def test_maxent_lm_learns_what_follows(spark):
+    """Words that always follow one another are likelier than their counts say, in texts not learned from, too."""
+    rng = np.random.default_rng(6)
+    pairs = [(f"a{i}", f"b{i}") for i in range(12)]
+    texts = [(i, " ".join(f"{a} {b}" for a, b in (pairs[j] for j in rng.integers(0, 12, 60)))) for i in range(400)]
+    got = maxent_lm.scores(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out")
+    r = got.selectExpr("sum(score) / sum(n_tokens) as m", "sum(base_score) / sum(n_tokens) as b").first()
+    assert r["m"] > r["b"] + 0.3
+
+
+def test_maxent_lm_table_changes_no_score(docs, monkeypatch):
+    every = {(r["doc_id"], r["n_tokens"]): (r["base_score"], r["n_known"], r["score"]) for r in maxent_lm.scores(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(maxent_lm, "TABLE", 3)
+    few = {(r["doc_id"], r["n_tokens"]): (r["base_score"], r["n_known"], r["score"]) for r in maxent_lm.scores(docs.coalesce(1)).collect()}
+    assert few.keys() == every.keys() and all(few[k] == pytest.approx(every[k], rel=1e-6, abs=1e-6) for k in few)
 
 
 def test_quality_classifier(docs, none, spark):

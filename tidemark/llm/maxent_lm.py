@@ -1,21 +1,26 @@
 """Language-model scoring: a hashed maximum-entropy model with class-factored softmax.
 
-log P(word | text before) = log P(class | h) + log P(word | class, h).
-
-* The class factor is a softmax over some forty classes. Its features are the word before, the two words before and
-  the word before that one alone (a skip), each hashed to a row of weights. It is trained by distributed gradient
-  updates: in each round every partition takes AdaGrad steps over all its tokens from the common weights, and the
-  rows are averaged by how often each partition has met them.
-* The words of frequent classes have a softmax of their own with the classes of the two words before as features.
-  Its normaliser is a small table, and it is fitted to corpus-wide counts by iterative scaling.
-* Frequent words are clustered by the frequent words around them; less frequent ones form classes by count, and
-  within those a word has its share of the counts. All words below the table of known counts form the last class,
-  with the unknown word: a distributed join gives each its exact count.
-
-Bounds: HEAD words in the softmax, TABLE words whose counts are broadcast, ROWS hashed feature rows. None of them
-drops a token: counts, gradients and scores cover all texts. Defined cases: a null text is an empty one and holds
-the end token only; a null id is never held out; a corpus without training texts scores as if every word were
-unknown; repeated rows are learned and scored as often as they occur; other columns of the input are left out.
+A word is reached through classes: log P(word | text before) is a sum over the nodes on its way, each a softmax over
+WIDTH outputs with hashed features of the text before.
+
+* The root chooses among clusters of frequent words and tails of all others. A cluster chooses among groups of its
+  words of about equal counts, a group again among such groups; the commonest words are groups by themselves. In a
+  last group, and in a tail, a word has its share of the training counts.
+* Features are the word before, the two words before (at the root) and the word before that one alone (a skip), each
+  hashed with the node to a row of weights with a column an output. Biases are the logarithms of training counts, so
+  that without weights the model is the distribution of counts.
+* Weights are trained by distributed gradient updates: every task takes AdaGrad steps over all tokens of its texts
+  from the common weights, and rows are averaged by how often each task has met them. Which texts share a task
+  decides the order of steps, so scores differ a little between partitionings.
+* Clusters come from k-means over the frequent words around each head word. A tail is told by a word's last two
+  bytes, which its hash carries, so any word has one, known or not.
+
+Bounds: HEAD words with a way of their own, and ROWS rows of weights at most (fewer for small corpora, one for each
+SHARE tokens), as every task holds them; the counts of TABLE words are broadcast, those of all others joined, with the
+same result. No token is dropped: counts, gradients and scores cover all texts. Defined cases: a null text is an empty
+one and holds the end token only; a null id is never held out; a corpus without training texts scores all words as
+unknown, by their tails alone; repeated rows are learned and scored as often as they occur; other columns of the input
+are left out.
 """
 
 from __future__ import annotations
@@ -24,24 +29,31 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-HEAD, TABLE, ROWS = 1 << 13, 1 << 19, 1 << 15
-CLUSTERS, SEEDS, BANDS = 32, 64, 6
-BATCH, ROUNDS, RATE = 4096, 2, 0.3
+HEAD, TABLE, ROWS, SHARE = 1 << 15, 1 << 19, 1 << 17, 4
+WIDTH, CLUSTERS, TAILS, SEEDS = 32, 26, 6, 64
+BATCH, RATE = 8192, 0.6
+#: Tokens that a task of a training round takes at least, where there are that many; parts that are summed at first.
+TASK_TOKENS, PARTS = 4_000_000, 16
+BLOCKS = 64
 FOLDS, HELD_OUT = 5, 1
-#: Bias of a class without words: it gets no probability.
+#: Bias of an output without words: it gets no probability.
 EMPTY = -1e9
 U = np.uint64
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's words and its end, and where each text's begin."""
-    hashes, first, *_ = vectors.words(texts, lower=True)
+    """Hashes of each text's words and its end, with the tail in the last three bits, and where each text's begin."""
+    hashes, first, data, starts, ends = vectors.words(texts, lower=True)
+    if len(hashes):
+        last = data[ends - 1].astype(U) * U(256) + data[np.maximum(ends - 2, starts)].astype(U)
+        hashes = (hashes & ~U(7)) | (vectors.mix(last) % U(TAILS))
     n = np.diff(first)
     out = np.full(len(hashes) + len(n), END, U)
     at = first + np.arange(len(first))
@@ -50,7 +62,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(found: np.ndarray, at: np.ndarray, start=START) -> tuple[np.ndarray, np.ndarray]:
-    """The token (or what stands for it) before each, and the one before that; start where a text has none."""
+    """The token before each, and the one before that; start where a text has none."""
     one, two = np.empty_like(found), np.empty_like(found)
     one[1:], two[2:] = found[:-1], found[:-2]
     one[at[:-1]] = two[at[:-1]] = start
@@ -59,121 +71,138 @@ def _before(found: np.ndarray, at: np.ndarray, start=START) -> tuple[np.ndarray,
     return one, two
 
 
-def _rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    mask = U(ROWS - 1)
-    return np.stack([vectors.mix(one ^ U(1)) & mask, vectors.mix(one * U(3) + vectors.mix(two)) & mask, vectors.mix(two ^ U(2)) & mask]).astype(np.int32)
+def _features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of the word before, the skipped-to word, and both."""
+    return np.stack([vectors.mix(one ^ U(1)), vectors.mix(two ^ U(2)), vectors.mix(one * U(3) + vectors.mix(two))])
 
 
-class Model:
-    """What tasks need: sorted hashes of the table with counts and classes, the class weights, the word softmax."""
+class Words:
+    """Sorted hashes with counts; which of them are here changes no score, only where its count comes from."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare_mass: float):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.total, self.distinct, self.rare_mass = hashes[order], counts[order], total, distinct, rare_mass
-        rank = np.lexsort((self.hashes, -self.counts))
-        self.head = np.full(len(rank), -1, np.int32)
-        self.head[rank[:HEAD]] = np.arange(min(HEAD, len(rank)))
-        self.head_at = rank[:HEAD]
-        rest = rank[HEAD:]
-        mass = np.cumsum(self.counts[rest] + 0.5)
-        band = np.minimum((mass / max(mass[-1], 1) * BANDS).astype(np.int32), BANDS - 1) if len(rest) else np.zeros(0, np.int32)
-        self.classes = np.zeros(len(rank), np.int16)
-        self.classes[rest] = CLUSTERS + band
-        self.rare = CLUSTERS + BANDS
-        self.n_classes = self.rare + 1
-        self.band_mass = np.bincount(band, self.counts[rest] + 0.5, minlength=BANDS)
-        self.weights = np.zeros((ROWS, self.n_classes), np.float32)
-        self.bias = np.zeros(self.n_classes, np.float32)
+        self.hashes, self.counts = hashes[order], counts[order]
 
     def look(self, found: np.ndarray) -> np.ndarray:
-        """Place in the table of each token, -1 for those that are not in it."""
+        """Place of each token, -1 for those that are not here."""
         if not len(self.hashes):
             return np.full(len(found), -1)
         at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
         return np.where(self.hashes[at] == found, at, -1)
 
-    def class_of(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.classes[place], self.rare) if len(self.classes) else np.full(len(place), self.rare)
 
-    def cluster(self, near: np.ndarray) -> None:
-        """Sets the head's classes: near[w, s] counts how often seed s stands before or after head word w."""
+def _by_mass(mass: np.ndarray) -> np.ndarray:
+    """Of numbers in falling order, WIDTH groups of about equal sums, side by side; the largest are alone."""
+    group = np.minimum((np.cumsum(mass) - mass) / max(mass.sum(), 1) * WIDTH, WIDTH - 1).astype(np.int64)
+    return np.unique(group, return_inverse=True)[1]
+
+
+class Model:
+    """What tasks need: the head's words and their ways through the nodes, biases, weights, the tails' sums of counts."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, tails: np.ndarray):
+        self.head, self.total, self.distinct, self.tails = Words(hashes, counts), total, distinct, tails
+        n = len(self.head.hashes)
+        self.rank = np.lexsort((self.head.hashes, -self.head.counts))  # places, the commonest word first
+        self.cluster, self.group, self.slot, self.rest = (np.zeros(n, t) for t in (np.int64, np.int64, np.int64, float))
+        self.rows = 1 << int(np.clip(np.ceil(np.log2(total / SHARE + 1)), 10, np.log2(ROWS)))
+        self.bias = np.full((1 + CLUSTERS + CLUSTERS * WIDTH, WIDTH), EMPTY, np.float32)
+        self.keys = vectors.mix(np.arange(len(self.bias), dtype=U) + U(77))
+        self.weights = np.zeros((self.rows, WIDTH), np.float32)
+        self.set_ways()
+
+    def set_clusters(self, near: np.ndarray) -> None:
+        """near[i, s] counts how often seed s stands beside the word of rank i."""
         x = np.log1p(near)
         x = x - x.sum(0) / max(len(x), 1)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
         k = min(CLUSTERS, len(x))
-        weight = self.counts[self.head_at].astype(float)[: len(x), None] ** 0.5
-        centres = x[np.linspace(0, len(x) - 1, k).astype(int)] if k else x
+        weight = self.head.counts[self.rank].astype(float)[:, None] ** 0.5
+        centres = x[np.linspace(0, min(len(x), 4096) - 1, k).astype(int)] if k else x
         found = np.zeros(len(x), np.int64)
-        for _ in range(15):
-            found = (x @ centres.T).argmax(1) if k else found
+        for _ in range(15 if k else 0):
+            found = (x @ centres.T).argmax(1)
             for j in range(k):
                 if (mine := found == j).any():
                     c = (x[mine] * weight[mine]).sum(0)
                     centres[j] = c / (np.linalg.norm(c) + 1e-9)
-        self.classes[self.head_at] = found
-        none = np.bincount(self.classes, minlength=self.n_classes) == 0
-        none[self.rare] = False  # unknown words are always there
-        self.bias[none] = EMPTY
-
-    def fit_words(self, one: np.ndarray, two: np.ndarray, both: np.ndarray) -> None:
-        """The word softmax from counts of (class before, head word), (class before that, head word), (class, both)."""
-        n, k = len(self.head_at), self.n_classes
-        own = self.classes[self.head_at]
-        self.words, self.norm = np.zeros((3, k, n), np.float32), np.zeros((CLUSTERS, k, k), np.float32)
-        base = np.log(self.counts[self.head_at] + 0.5)
+        self.cluster[self.rank] = found
+        self.set_ways()
+
+    def set_ways(self) -> None:
+        """Groups, slots, shares and biases from counts and clusters."""
+        mass = self.head.counts + 0.5
+        self.bias[:] = EMPTY
+        self.slot[:] = -1
+        root = np.concatenate([np.bincount(self.cluster, mass, minlength=CLUSTERS), self.tails])
+        self._set_bias(0, root)
         for c in range(CLUSTERS):
-            w = np.flatnonzero(own == c)
-            if not len(w):
+            words = self.rank[self.cluster[self.rank] == c]
+            if not len(words):
                 continue
-            a, b, pairs = np.zeros((k, len(w))), np.zeros((k, len(w))), both[c].astype(float)
-            share = np.exp(base[w]) / np.exp(base[w]).sum()
-            for _ in range(6):
-                e = np.exp(base[w] + a[:, None] + b[None])
-                p = e / e.sum(2, keepdims=True) * pairs[:, :, None]
-                smooth = 8 * len(w) ** 0.5 * share + 1e-9
-                a += 0.5 * np.log((one[:, w] + smooth) / (p.sum(1) + smooth))
-                b += 0.5 * np.log((two[:, w] + smooth) / (p.sum(0) + smooth))
-            self.words[0][:, w], self.words[1][:, w], self.words[2][:, w] = base[w], a, b
-            self.norm[c] = np.log(np.exp(base[w] + a[:, None] + b[None]).sum(2))
-
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        x = _scores(self.weights, self.bias, rows)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-    def logs(self, found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(natural log of each token's probability, its place in the table, its count); rare ones lack their count's part."""
+            group = _by_mass(mass[words])
+            self.group[words] = group
+            self._set_bias(1 + c, np.bincount(group, mass[words]))
+            for g in np.flatnonzero(np.bincount(group) > 1):
+                some = words[group == g]
+                slot = _by_mass(mass[some])
+                self.slot[some] = slot
+                sums = np.bincount(slot, mass[some])
+                self._set_bias(1 + CLUSTERS + c * WIDTH + g, sums)
+                self.rest[some] = np.log(mass[some] / sums[slot])
+
+    def _set_bias(self, node: int, mass: np.ndarray) -> None:
+        some = np.flatnonzero(mass > 0)
+        self.bias[node, some] = np.log(mass[some] / mass.sum())
+
+    def levels(self, found: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which tokens, their nodes, the outputs that they take, feature rows) of each step on the tokens' ways."""
+        mask = U(self.rows - 1)
+        place = self.head.look(found)
+        inside = np.flatnonzero(place >= 0)
+        out = CLUSTERS + (found & U(7)).astype(np.int64)
+        out[inside] = self.cluster[place[inside]]
+        yield slice(None), np.zeros(len(found), np.int64), out, (features ^ self.keys[0]) & mask
+        for deep in (0, 1):
+            p = place[inside]
+            if deep:
+                inside = inside[self.slot[p] >= 0]
+                p = place[inside]
+            c, g = self.cluster[p], self.group[p]
+            node = 1 + CLUSTERS + c * WIDTH + g if deep else 1 + c
+            yield inside, node, self.slot[p] if deep else g, (features[:2, inside] ^ self.keys[node]) & mask
+
+    def logs(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural log of each token's probability, but for the count of a tail's word."""
         one, two = _before(found, at)
-        place = self.look(found)
-        classes = self.class_of(place)
-        ones, twos = _before(classes, at, self.rare)
-        counts = np.where(place >= 0, self.counts[place], 0) if len(self.counts) else np.zeros(len(place), np.int64)
-        out = np.empty(len(found))
-        for i in range(0, len(found), 8 * BATCH):
-            s = slice(i, i + 8 * BATCH)
-            out[s] = self.class_logs(_rows(one[s], two[s]))[np.arange(len(found[s])), classes[s]]
-        banded = (classes >= CLUSTERS) & (place >= 0)
-        out[banded] += np.log((counts[banded] + 0.5) / self.band_mass[classes[banded] - CLUSTERS])
-        head = np.flatnonzero((classes < CLUSTERS) & (place >= 0))
-        w, c = self.head[place[head]], classes[head]
-        out[head] += self.words[0][0, w] + self.words[1][ones[head], w] + self.words[2][twos[head], w] - self.norm[c, ones[head], twos[head]]
-        return out, place, counts
-
-
-def _scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of each token's three rows, less their largest."""
-    x = np.take(weights, rows[0], 0)
-    x += np.take(weights, rows[1], 0)
-    x += np.take(weights, rows[2], 0)
-    x += bias
+        out = np.zeros(len(found))
+        for i in range(0, len(found), BATCH):
+            part = slice(i, i + BATCH)
+            mine, words = out[part], found[part]
+            for which, node, taken, rows in self.levels(words, _features(one[part], two[part])):
+                if len(taken):
+                    x = _scores(self.weights, self.bias, node, rows)
+                    mine[which] += x[np.arange(len(taken)), taken] - np.log(np.exp(x).sum(1))
+        place = self.head.look(found)
+        inside = place >= 0
+        out[inside] += self.rest[place[inside]]
+        out[~inside] -= np.log(self.tails[(found[~inside] & U(7)).astype(np.int64)])
+        return out
+
+
+def _scores(weights: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of each token's rows and its node's biases, less their largest."""
+    x = np.take(bias, node, 0)
+    for r in rows:
+        x += np.take(weights, r.astype(np.int64), 0)
     x -= x.max(1, keepdims=True)
     return x
 
 
 def _by_row(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows met, how often, sums of x over each); most are met once, and those are copied, not summed."""
-    every = rows.ravel().astype(np.uint16)  # 16-bit keys are sorted by radix
-    order = np.argsort(every, kind="stable")
-    every, order = every[order], order % len(x)
+    """(rows met, how often, sums of x over each); those met once are copied, not summed."""
+    keys = np.sort((rows.ravel() << U(32)) | np.tile(np.arange(len(x), dtype=U), len(rows)))
+    every, order = keys >> U(32), (keys & U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     times = np.diff(np.append(new, len(every)))
     sums, many = np.take(x, order[new], 0), np.flatnonzero(times > 1)
@@ -230,12 +259,13 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(model):
-    """Keys head word * SEEDS + seed, for seeds next to the word."""
+    """Keys head word's rank * SEEDS + seed, for seeds (the commonest words) next to the word."""
 
     def key_of(found: np.ndarray, at: np.ndarray) -> np.ndarray:
         m = model.value
-        place = m.look(found)
-        head = np.where(place >= 0, m.head[place], -1)
+        rank = np.empty(len(m.rank) + 1, np.int64)
+        rank[m.rank], rank[-1] = np.arange(len(m.rank)), -1
+        head = rank[m.head.look(found)]
         left, right = head[:-1].copy(), head[1:]
         left[at[1:-1] - 1] = -1
         before = (left >= 0) & (left < SEEDS) & (right >= 0)
@@ -245,138 +275,138 @@ def _near(model):
     return key_of
 
 
-def _contexts(model):
-    """Keys of the three tables that fit_words wants, one after the other."""
-
-    def key_of(found: np.ndarray, at: np.ndarray) -> np.ndarray:
-        m = model.value
-        place = m.look(found)
-        classes = m.class_of(place)
-        one, two = _before(classes, at, m.rare)
-        head = np.flatnonzero((place >= 0) & (classes < CLUSTERS))
-        w, one, two, c, k = m.head[place[head]].astype(np.int64), one[head].astype(np.int64), two[head].astype(np.int64), classes[head].astype(np.int64), m.n_classes
-        size = k * len(m.head_at)
-        return np.concatenate([one * len(m.head_at) + w, size + two * len(m.head_at) + w, 2 * size + (c * k + one) * k + two]).astype(U)
-
-    return key_of
-
-
 def _steps(model, rate: float):
-    """One round of a partition: AdaGrad over all its tokens; rows met, as (block, times met, weights)."""
+    """AdaGrad over all tokens of a task; what it has met, as (block of rows, part, task, times met, weights times these)."""
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        weights, bias = m.weights.copy(), m.bias.copy()
-        met, squares, bias_squares = np.zeros(ROWS, np.float32), np.full(ROWS, 1e-2, np.float32), np.full(len(bias), 1.0, np.float32)
-        total = 0
+        m, task, any_ = model.value, TaskContext.get().partitionId(), False
+        weights = m.weights.copy()
+        met, squares = np.zeros(m.rows, np.float32), np.full(m.rows, 1e-2, np.float32)
         for b in vectors.slices(batches):
             found, at = tokens(b.column("text"))
             one, two = _before(found, at)
-            rows, classes = _rows(one, two), m.class_of(m.look(found))
+            any_ = any_ or len(found) > 0
             for i in range(0, len(found), BATCH):
-                r, c = rows[:, i : i + BATCH], classes[i : i + BATCH]
-                x = _scores(weights, bias, r)
-                np.exp(x, out=x)
-                x /= x.sum(1, keepdims=True)
-                x[np.arange(len(c)), c] -= 1
-                ids, times, g = _by_row(x, r)
-                squares[ids] += np.einsum("ij,ij->i", g, g)
-                g *= (rate / np.sqrt(squares[ids]))[:, None]
-                weights[ids] -= g
-                met[ids] += times
-                g = x.sum(0)
-                bias_squares += g * g
-                bias -= rate * g / np.sqrt(bias_squares)
-                total += len(c)
-        if total:
-            out = [(-1, np.array([total], np.float32).tobytes(), bias.tobytes())]
-            for i in range(0, ROWS, ROWS // 64):
-                out.append((i, met[i : i + ROWS // 64].tobytes(), (weights[i : i + ROWS // 64] * met[i : i + ROWS // 64, None]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "met", "weights"])
+                part = slice(i, i + BATCH)
+                for _, node, taken, rows in m.levels(found[part], _features(one[part], two[part])):
+                    if not len(taken):
+                        continue
+                    x = _scores(weights, m.bias, node, rows)
+                    np.exp(x, out=x)
+                    x /= x.sum(1, keepdims=True)
+                    x[np.arange(len(taken)), taken] -= 1
+                    ids, times, g = _by_row(x, rows)
+                    squares[ids] += np.einsum("ij,ij->i", g, g)
+                    g *= (rate / np.sqrt(squares[ids]))[:, None]
+                    weights[ids] -= g
+                    met[ids] += times
+        if any_:
+            size = m.rows // BLOCKS
+            weights *= met[:, None]
+            for i in range(BLOCKS):
+                s = slice(i * size, (i + 1) * size)
+                yield _message(i, task % PARTS, task, met[s], weights[s])
 
     return steps
 
 
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    met, weights = 0.0, 0.0
-    for m, w in zip(table["met"], table["weights"], strict=True):
-        m, w = np.frombuffer(m.as_py(), np.float32).astype(float), np.frombuffer(w.as_py(), np.float32).astype(float)
-        met, weights = met + m, weights + (w * m[0] if table["block"][0].as_py() < 0 else w)
-    return pa.table({"block": table["block"][:1], "met": [met.tobytes()], "weights": [np.asarray(weights).tobytes()]})
+MESSAGE = "block int, part int, task int, met binary, weights binary"
+
+
+def _message(block: int, part: int, task: int, met: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    row = (block, part, task, met.astype(np.float32).tobytes(), weights.astype(np.float32).tobytes())
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MESSAGE.split(", ")])
+
+
+def _added(messages: DataFrame, *keys: str) -> DataFrame:
+    """Sums of messages of equal keys: sorted within partitions and added one by one, so a task holds one sum and one batch."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = met = weights = None
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                key = (row["block"], *[row[k] for k in keys if k != "block"])
+                m, w = (np.frombuffer(row[c], np.float32).astype(float) for c in ("met", "weights"))
+                if key == now:
+                    met += m
+                    weights += w
+                    continue
+                if now is not None:
+                    yield _message(last["block"], last["part"], last["task"], met, weights)
+                now, met, weights, last = key, m, w, row
+        if now is not None:
+            yield _message(last["block"], last["part"], last["task"], met, weights)
+
+    return messages.repartition(*keys).sortWithinPartitions("block", "part", "task").mapInArrow(add, MESSAGE)
 
 
 def _train(model: Model, texts: DataFrame, rate: float) -> None:
+    """One round over all texts."""
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast(model)
-    # a block holds ROWS / 64 rows: what comes back is as large as the weights, however many partitions there are
-    blocks = texts.mapInArrow(_steps(shared, rate), "block int, met binary, weights binary").groupBy("block").applyInArrow(_sum_blocks, "block int, met binary, weights binary")
-    for row in blocks.toLocalIterator():
-        met, weights = np.frombuffer(row["met"]), np.frombuffer(row["weights"])
-        if row["block"] < 0:
-            model.bias = (weights / met[0]).astype(np.float32)
-        else:
-            some = np.flatnonzero(met > 0)
-            model.weights[row["block"] + some] = weights.reshape(len(met), -1)[some] / met[some, None]
+    tasks = max(sc.defaultParallelism, -(-model.total // TASK_TOKENS))
+    sums = _added(_added(texts.coalesce(tasks).mapInArrow(_steps(shared, rate), MESSAGE), "block", "part"), "block")
+    # a block holds rows / BLOCKS rows: what comes back is as large as the weights, however many tasks there are
+    size = model.rows // BLOCKS
+    for row in sums.toLocalIterator():
+        met, weights = np.frombuffer(row["met"], np.float32), np.frombuffer(row["weights"], np.float32).reshape(size, WIDTH)
+        some = np.flatnonzero(met > 0)
+        model.weights[row["block"] * size + some] = weights[some] / met[some, None]
     shared.unpersist()
 
 
-def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of a frame with the column text, and the table of all counts (key, n)."""
+def learn(texts: DataFrame) -> tuple[Model, Words, DataFrame]:
+    """The model of a frame with the column text, the commonest words, and the table of all counts (key, n)."""
     spark = texts.sparkSession
     storage.ship(spark)
     sc = spark.sparkContext
     counts = storage.materialise(_counts(texts, lambda found, at: found), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the least count whose words fit the table, from how many words have each count
-    least = 1
-    if distinct > TABLE:
-        steps = counts.where(f"n <= {TABLE}").groupBy("n").agg(F.count("*").alias("words")).where("n <= 4096").toArrow()
-        order = np.argsort(steps["n"].to_numpy())
-        n, words = steps["n"].to_numpy()[order], steps["words"].to_numpy()[order]
-        left = distinct - np.cumsum(words)
-        fits = np.flatnonzero(left <= TABLE)
-        least = int(n[fits[0]]) + 1 if len(fits) else 4097
-    table = counts.where(f"n >= {least}")
-    if distinct > TABLE and least > 4096:
-        table = table.orderBy(F.desc("n"), "key").limit(TABLE)
-    hashes, known = _collected(table)
-    rare_mass = (total - int(known.sum())) + 0.5 * (distinct - len(known)) + 0.5
-    model = Model(hashes, known, total, distinct, rare_mass)
+    tail = F.col("key").bitwiseAND(F.lit(7))
+    sums = counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    total, distinct = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
+    hashes, known = _collected(counts.orderBy(F.desc("n"), "key").limit(HEAD))
+    tails = np.zeros(TAILS)
+    for r in sums:
+        tails[r["tail"]] += r["n"] + 0.5 * r["words"]
+    tails -= np.bincount((hashes & U(7)).astype(np.int64), known + 0.5, minlength=TAILS)
+    model = Model(hashes, known, total, distinct, tails + 0.5)
+    # the least power of two that no more than TABLE words reach
+    sizes = {r["bin"]: r["words"] for r in counts.groupBy(F.floor(F.log2("n")).alias("bin")).agg(F.count("*").alias("words")).collect()}
+    least, left = 64, TABLE
+    while least > 0 and left >= sizes.get(least - 1, 0):
+        least -= 1
+        left -= sizes.get(least, 0)
+    table = Words(*_collected(counts.where(f"n >= {1 << least}" if least < 63 else "false")))
     shared = sc.broadcast(model)
     keys, n = _collected(_counts(texts, _near(shared)))
-    near = np.zeros((len(model.head_at), SEEDS))
-    near.ravel()[keys.astype(np.int64)] = n
-    model.cluster(near)
     shared.unpersist()
-    shared = sc.broadcast(model)
-    keys, n = _collected(_counts(texts, _contexts(shared)))
-    shared.unpersist()
-    k, h = model.n_classes, len(model.head_at)
-    flat = np.zeros(2 * k * h + CLUSTERS * k * k)
-    flat[keys.astype(np.int64)] = n
-    model.fit_words(flat[: k * h].reshape(k, h), flat[k * h : 2 * k * h].reshape(k, h), flat[2 * k * h :].reshape(CLUSTERS, k, k))
-    share = np.bincount(model.classes, model.counts + 0.5, minlength=k).astype(float)  # integers if there is nothing to count
-    share[model.rare] += rare_mass
-    model.bias = np.where(share > 0, np.log(np.maximum(share, 1e-3) / share.sum()), EMPTY).astype(np.float32)
-    for i in range(ROUNDS):
-        _train(model, texts, RATE / (1 + i))
-    return model, counts
-
-
-def _score(model):
+    near = np.zeros((len(model.rank), SEEDS))
+    near.ravel()[keys.astype(np.int64)] = n
+    model.set_clusters(near)
+    if total:
+        _train(model, texts, RATE)
+    return model, table, counts
+
+
+def _score(model, table):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m, t = model.value, table.value
         log_base = np.log10(m.total + 0.5 * (m.distinct + 1))
         for b in vectors.slices(batches):
             found, at = tokens(b.column("text"))
-            logs, place, counts = m.logs(found, at)
-            logs = logs / np.log(10)
-            rare = place < 0
-            logs[rare] -= np.log10(m.rare_mass)
-            base = np.where(rare, 0, np.log10(counts + 0.5)) - log_base
+            logs = m.logs(found, at) / np.log(10)
+            place, head = t.look(found), m.head.look(found)
+            counts = np.where(place >= 0, t.counts[place], 0) if len(t.counts) else np.zeros(len(found), np.int64)
+            if len(m.head.counts):
+                counts = np.where(head >= 0, m.head.counts[head], counts)
+            rare = counts == 0
+            log_count = np.where(rare, 0.0, np.log10(counts + 0.5))
+            logs += np.where(head >= 0, 0.0, log_count)
             values = pa.array(found[rare].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)), values)
-            sums = [np.add.reduceat(x, at[:-1]) for x in (base, logs, (~rare).astype(np.int64))]
+            sums = [np.add.reduceat(x, at[:-1]) for x in (log_count - log_base, logs, (~rare).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), b.column("held_out"), pa.array(np.diff(at)), *map(pa.array, sums), lists], names=["rid", "id", "held_out", "n_tokens", "base", "model", "known", "rare"])
 
     return score
@@ -391,16 +421,19 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column
     spark = df.sparkSession
     held = held_out(key) if held is None else held
     every = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), held.alias("held_out"))
-    model, counts = learn(every.where("not held_out").select("text"))
+    model, table, counts = learn(every.where("not held_out").select("text"))
     kind = every.schema["id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(table)
     scored = every.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _score(spark.sparkContext.broadcast(model)), f"rid long, id {kind}, held_out boolean, n_tokens long, base double, model double, known long, rare array<long>"
+        _score(*shared), f"rid long, id {kind}, held_out boolean, n_tokens long, base double, model double, known long, rare array<long>"
     )
     scored = storage.materialise(scored, "lm-scored")
-    rare = scored.select("rid", F.explode("rare").alias("key")).join(counts, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("more"), F.count_if(F.col("c") > 0).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(rare, "rid", "left").select(
-        F.col("id").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+    # words that the table lacks: those with a count bring it, all others count as 0
+    found = scored.select("rid", F.explode("rare").alias("key")).join(counts, "key")
+    found = found.groupBy("rid").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("logs"), F.count("*").alias("found"))
+    none = F.coalesce("found", F.lit(0))
+    more = F.coalesce("logs", F.lit(0.0)) + (F.size("rare") - none) * F.log10(F.lit(0.5))
+    return scored.join(found, "rid", "left").select(
+        F.col("id").alias(key), "held_out", "n_tokens", (F.col("known") + none).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
     )
