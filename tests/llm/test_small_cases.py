@@ -271,6 +271,18 @@ def test_maxent_lm_table_changes_no_score(docs, monkeypatch):
     assert few.keys() == every.keys() and all(few[k] == pytest.approx(every[k], rel=1e-6, abs=1e-6) for k in few)
 
 
+def test_commonest_words_are_all_that_reach_a_count(spark):
+    rng = np.random.default_rng(9)
+    n = np.concatenate([np.ones(500, int), rng.integers(1, 9, 300), rng.integers(1, 100_000, 50), [1 << 40]])
+    counts = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(n)], "key long, n long")
+    bins = Counter(int(math.log2(x)) for x in n)
+    for most in (0, 1, 3, 40, 60, 200, 400, len(n) - 1, len(n), 10**6):
+        least = maxent_lm._least(counts, bins, most)
+        assert (n >= least).sum() <= most or least == 1
+        low = max((x for x in n if x < least), default=0)
+        assert low == 0 or (n >= low * (1 - 1 / 512)).sum() > most
+
+
 def test_quality_classifier(docs, none, spark):
     ratings = spark.createDataFrame([(i, i % 3) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, grade int")
     texts = spark.createDataFrame([(i, ("bad worse " if i % 3 == 0 else "dull plain " if i % 3 == 1 else "fine clear ") * 5 + f"x{i}") for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string")

@@ -15,7 +15,8 @@ WIDTH outputs with hashed features of the text before.
 * Clusters come from k-means over the frequent words around each head word. A tail is told by a word's last two
   bytes, which its hash carries, so any word has one, known or not.
 
-Bounds: HEAD words with a way of their own, and ROWS rows of weights at most (fewer for small corpora, one for each
+Bounds: about HEAD words with a way of their own (all whose count is above a threshold, never a part of those of a
+count), and ROWS rows of weights at most (fewer for small corpora, one for each
 SHARE tokens), as every task holds them; the counts of TABLE words are broadcast, those of all others joined, with the
 same result. No token is dropped: counts, gradients and scores cover all texts. Defined cases: a null text is an empty
 one and holds the end token only; a null id is never held out; a corpus without training texts scores all words as
@@ -357,6 +358,23 @@ def _train(model: Model, texts: DataFrame, rate: float) -> None:
     shared.unpersist()
 
 
+def _least(counts: DataFrame, bins: dict[int, int], most: int) -> int:
+    """A count that no more than `most` words reach, the least but for one part in 1024; bins has the words of each power of two."""
+    b, left = 64, most
+    while b and left >= bins.get(b - 1, 0):
+        b, left = b - 1, left - bins.get(b - 1, 0)
+    if not b:
+        return 1
+    low = 1 << (b - 1)
+    width = max(1, low // 1024)
+    part = F.floor((F.col("n") - low) / width)
+    parts = {r["part"]: r["words"] for r in counts.where(f"n >= {low} and n < {2 * low}").groupBy(part.alias("part")).agg(F.count("*").alias("words")).collect()}
+    p = low // width
+    while left >= parts.get(p - 1, 0):
+        p, left = p - 1, left - parts.get(p - 1, 0)
+    return low + p * width
+
+
 def learn(texts: DataFrame) -> tuple[Model, Words, DataFrame]:
     """The model of a frame with the column text, the commonest words, and the table of all counts (key, n)."""
     spark = texts.sparkSession
@@ -366,19 +384,14 @@ def learn(texts: DataFrame) -> tuple[Model, Words, DataFrame]:
     tail = F.col("key").bitwiseAND(F.lit(7))
     sums = counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     total, distinct = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
-    hashes, known = _collected(counts.orderBy(F.desc("n"), "key").limit(HEAD))
+    bins = {r["bin"]: r["words"] for r in counts.groupBy(F.floor(F.log2("n")).alias("bin")).agg(F.count("*").alias("words")).collect()}
+    hashes, known = _collected(counts.where(f"n >= {_least(counts, bins, HEAD)}"))
     tails = np.zeros(TAILS)
     for r in sums:
         tails[r["tail"]] += r["n"] + 0.5 * r["words"]
     tails -= np.bincount((hashes & U(7)).astype(np.int64), known + 0.5, minlength=TAILS)
     model = Model(hashes, known, total, distinct, tails + 0.5)
-    # the least power of two that no more than TABLE words reach
-    sizes = {r["bin"]: r["words"] for r in counts.groupBy(F.floor(F.log2("n")).alias("bin")).agg(F.count("*").alias("words")).collect()}
-    least, left = 64, TABLE
-    while least > 0 and left >= sizes.get(least - 1, 0):
-        least -= 1
-        left -= sizes.get(least, 0)
-    table = Words(*_collected(counts.where(f"n >= {1 << least}" if least < 63 else "false")))
+    table = Words(*_collected(counts.where(f"n >= {_least(counts, bins, TABLE)}")))
     shared = sc.broadcast(model)
     keys, n = _collected(_counts(texts, _near(shared)))
     shared.unpersist()
