@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that plan_cascade looks at (expected number), and how often it runs a rule on each of them.
-SAMPLE_ROWS, REPEATS = 500, 8
+SAMPLE_ROWS, REPEATS = 400, 2
 
 SPACE = r"\\x20\\x09-\\x0D"
 
