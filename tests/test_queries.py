@@ -84,7 +84,7 @@ def test_greedy_matches_differ(spark):
 
 
 def test_timestamps(spark):
-    df = spark.createDataFrame([("1723558387.598",), ("2024-08-13T14:13:07.598Z",), ("2024-08-13T14:13:07.598",), ("bad",), (None,)], "x string")
+    df = spark.createDataFrame([("1704164645.25",), ("2024-01-02T03:04:05.25Z",), ("2024-01-02T03:04:05.25",), ("bad",), (None,)], "x string")
     got = [r[0] for r in df.select(scalars.parse_ts(df.x)).collect()]
     assert got[0] == got[1] == got[2] and got[3] is got[4] is None
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Words left out.
+# Words left out of top terms.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "it", "de", "la", "der", "die")
 
 
