@@ -45,6 +45,9 @@ BLOCKS = 64
 FOLDS, HELD_OUT = 5, 1
 #: Bias of an output without words: it gets no probability.
 EMPTY = -1e9
+#: Rows that a batch meets so often at most are added up one by one.
+FEW = 4
+LEAST = 1e-30
 U = np.uint64
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -83,13 +86,23 @@ class Words:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
+        bits = len(hashes).bit_length() + 2
+        self.shift = U(64 - bits)
+        # where the hashes with each value of the leading bits begin
+        self.first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
 
     def look(self, found: np.ndarray) -> np.ndarray:
         """Place of each token, -1 for those that are not here."""
-        if not len(self.hashes):
-            return np.full(len(found), -1)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == found, at, -1)
+        lead = (found >> self.shift).astype(np.int64)
+        at, end = np.take(self.first, lead).astype(np.int64), np.take(self.first, lead + 1)
+        place, left = np.full(len(found), -1), np.flatnonzero(at < end)
+        while len(left):
+            same = np.take(self.hashes, at[left]) == found[left]
+            place[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return place
 
 
 def _by_mass(mass: np.ndarray) -> np.ndarray:
@@ -156,10 +169,10 @@ class Model:
         some = np.flatnonzero(mass > 0)
         self.bias[node, some] = np.log(mass[some] / mass.sum())
 
-    def levels(self, found: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """(which tokens, their nodes, the outputs that they take, feature rows) of each step on the tokens' ways."""
+    def levels(self, found: np.ndarray, features: np.ndarray, place: np.ndarray | None = None) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which tokens, their nodes, the outputs that they take, feature rows) of each step on the tokens' ways; place is theirs in the head, if known."""
         mask = U(self.rows - 1)
-        place = self.head.look(found)
+        place = self.head.look(found) if place is None else place
         inside = np.flatnonzero(place >= 0)
         out = CLUSTERS + (found & U(7)).astype(np.int64)
         out[inside] = self.cluster[place[inside]]
@@ -173,18 +186,19 @@ class Model:
             node = 1 + CLUSTERS + c * WIDTH + g if deep else 1 + c
             yield inside, node, self.slot[p] if deep else g, (features[:2, inside] ^ self.keys[node]) & mask
 
-    def logs(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Natural log of each token's probability, but for the count of a tail's word."""
+    def logs(self, found: np.ndarray, at: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of each token's probability, but for the count of a tail's word; place is the tokens' in the head, if known."""
+        place = self.head.look(found) if place is None else place
         one, two = _before(found, at)
         out = np.zeros(len(found))
         for i in range(0, len(found), BATCH):
             part = slice(i, i + BATCH)
             mine, words = out[part], found[part]
-            for which, node, taken, rows in self.levels(words, _features(one[part], two[part])):
+            for which, node, taken, rows in self.levels(words, _features(one[part], two[part]), place[part]):
                 if len(taken):
                     x = _scores(self.weights, self.bias, node, rows)
-                    mine[which] += x[np.arange(len(taken)), taken] - np.log(np.exp(x).sum(1))
-        place = self.head.look(found)
+                    _, sums = _exps(x)
+                    mine[which] += x[np.arange(len(taken)), taken] - np.log(sums)
         inside = place >= 0
         out[inside] += self.rest[place[inside]]
         out[~inside] -= np.log(self.tails[(found[~inside] & U(7)).astype(np.int64)])
@@ -192,21 +206,37 @@ class Model:
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of each token's rows and its node's biases, less their largest."""
+    """Sums of each token's rows and its node's biases."""
     x = np.take(bias, node, 0)
     for r in rows:
         x += np.take(weights, r.astype(np.int64), 0)
-    x -= x.max(1, keepdims=True)
     return x
 
 
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of scores and their sums by token; where they leave the range of floats, x loses each token's largest first."""
+    ones = np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore"):
+        exps = np.exp(x)
+        sums = exps @ ones
+    if not (sums.min() > LEAST and sums.max() < 1 / LEAST):
+        x -= x.max(1, keepdims=True)
+        exps = np.exp(x)
+        sums = exps @ ones
+    return exps, sums
+
+
 def _by_row(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows met, how often, sums of x over each); those met once are copied, not summed."""
     keys = np.sort((rows.ravel() << U(32)) | np.tile(np.arange(len(x), dtype=U), len(rows)))
     every, order = keys >> U(32), (keys & U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     times = np.diff(np.append(new, len(every)))
-    sums, many = np.take(x, order[new], 0), np.flatnonzero(times > 1)
+    sums, left = np.take(x, order[new], 0), np.flatnonzero(times > 1)
+    few, many = left[times[left] <= FEW], left[times[left] > FEW]
+    for i in range(1, FEW):
+        few = few[times[few] > i]
+        sums[few] = np.take(sums, few, 0) + np.take(x, order[new[few] + i], 0)
     if len(many):
         take = vectors.ranges(new[many], times[many])
         sums[many] = np.add.reduceat(np.take(x, order[take], 0), np.cumsum(times[many]) - times[many])
@@ -286,20 +316,20 @@ def _steps(model, rate: float):
         for b in vectors.slices(batches):
             found, at = tokens(b.column("text"))
             one, two = _before(found, at)
+            place = m.head.look(found)
             any_ = any_ or len(found) > 0
             for i in range(0, len(found), BATCH):
                 part = slice(i, i + BATCH)
-                for _, node, taken, rows in m.levels(found[part], _features(one[part], two[part])):
+                for _, node, taken, rows in m.levels(found[part], _features(one[part], two[part]), place[part]):
                     if not len(taken):
                         continue
-                    x = _scores(weights, m.bias, node, rows)
-                    np.exp(x, out=x)
-                    x /= x.sum(1, keepdims=True)
+                    x, sums = _exps(_scores(weights, m.bias, node, rows))
+                    x /= sums[:, None]
                     x[np.arange(len(taken)), taken] -= 1
                     ids, times, g = _by_row(x, rows)
                     squares[ids] += np.einsum("ij,ij->i", g, g)
                     g *= (rate / np.sqrt(squares[ids]))[:, None]
-                    weights[ids] -= g
+                    weights[ids] = np.take(weights, ids, 0) - g
                     met[ids] += times
         if any_:
             size = m.rows // BLOCKS
@@ -409,14 +439,15 @@ def _score(model, table):
         log_base = np.log10(m.total + 0.5 * (m.distinct + 1))
         for b in vectors.slices(batches):
             found, at = tokens(b.column("text"))
-            logs = m.logs(found, at) / np.log(10)
-            place, head = t.look(found), m.head.look(found)
-            counts = np.where(place >= 0, t.counts[place], 0) if len(t.counts) else np.zeros(len(found), np.int64)
-            if len(m.head.counts):
-                counts = np.where(head >= 0, m.head.counts[head], counts)
+            head = m.head.look(found)
+            logs = m.logs(found, at, head) / np.log(10)
+            counts, inside, others = np.zeros(len(found), np.int64), head >= 0, np.flatnonzero(head < 0)
+            counts[inside] = m.head.counts[head[inside]]
+            place = t.look(found[others])
+            counts[others[place >= 0]] = t.counts[place[place >= 0]]
             rare = counts == 0
             log_count = np.where(rare, 0.0, np.log10(counts + 0.5))
-            logs += np.where(head >= 0, 0.0, log_count)
+            logs += np.where(inside, 0.0, log_count)
             values = pa.array(found[rare].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)), values)
             sums = [np.add.reduceat(x, at[:-1]) for x in (log_count - log_base, logs, (~rare).astype(np.int64))]
