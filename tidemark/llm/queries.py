@@ -1,11 +1,11 @@
-"""The ten queries opN_<name> over the whole documents table, and SQL for those that SQL can express."""
+"""The queries opN_<name> over the whole documents table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
+from . import byte_bpe, exact_dedup, fill_in_middle, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,12 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scores(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transformed(_documents(spark, sf_dir)).withColumn("restored", fill_in_middle.restored())
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm, op11_fill_in_middle)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -127,4 +132,15 @@ e as (select a, b from l union all select b, a from l),
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from d left join n using (doc_id) left join (select a, min(b) as m from r group by 1) on a = d.doc_id"""
 
-ORACLES = {"op8_substring_dedup": OP8, "op9_ngram_join": OP9, "op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
+OP11 = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+h as (select *, [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in [0, 1, 2, 3]] as x from d),
+p as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or x[3] % 100 >= 90 then 'plain' when x[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+c as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from p)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(a as bigint) end as prefix_chars, case when form <> 'plain' then cast(b - a as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from c"""
+
+ORACLES = {"op11_fill_in_middle": OP11, "op8_substring_dedup": OP8, "op9_ngram_join": OP9, "op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
