@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fill_in_middle, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
+from . import byte_bpe, exact_dedup, fill_in_middle, hard_negatives, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm, op11_fill_in_middle)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, i, label = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id"), F.col("label")
+    return hard_negatives.mined(rows.withColumn("label", F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)), i % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm, op11_fill_in_middle, op13_hard_negatives)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -143,4 +148,13 @@ select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast
        sha256(t) as restored_sha256
 from c"""
 
-ORACLES = {"op11_fill_in_middle": OP11, "op8_substring_dedup": OP8, "op9_ngram_join": OP9, "op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
+OP13 = """
+with r as (select vec_id as id, row_number() over () as k, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.k as q, a.id as anchor_id, b.k, b.id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from r a join r b on a.id % 50 = 0 and a.k <> b.k),
+p as (select q, anchor_id, k as pk, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by q order by score desc, id, k) <= 5),
+n as (select p.*, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.q, p.pk order by s.score desc, s.id, s.k) as rank
+      from p join s on s.q = p.q and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+ORACLES = {"op13_hard_negatives": OP13, "op11_fill_in_middle": OP11, "op8_substring_dedup": OP8, "op9_ngram_join": OP9, "op6_exact_dedup": OP6, "op2_quality_rules": OP2, "op3_mixing": OP3}
