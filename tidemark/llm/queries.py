@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fill_in_middle, hard_negatives, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram
+from . import byte_bpe, exact_dedup, fill_in_middle, hard_negatives, language_id, maxent_lm, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_histogram, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, i, label = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id"), F.col("label")
     return hard_negatives.mined(rows.withColumn("label", F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)), i % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm, op11_fill_in_middle, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_quality_rules, op3_mixing, op4_language_id, op5_byte_bpe, op6_exact_dedup, op7_quality_classifier, op8_substring_dedup, op9_ngram_join, op10_maxent_lm, op11_fill_in_middle, op12_toxicity, op13_hard_negatives)}
 
 SPACE = r"[\x20\x09-\x0D]"
 
