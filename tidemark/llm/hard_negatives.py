@@ -180,7 +180,7 @@ def _visits(index, first: int, last: int, k: int):
                 row, leaf = key[begin] // len(leaves), key[begin] % len(leaves)
                 offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
                 local = window - np.concatenate([[0], np.cumsum(sizes)])[owner[window]]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (local.astype(np.int32), lo[window], hi[window])]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (local.astype(np.int32), bar[window], hi[window])]  # rows below what is found already need not come back
                 chosen = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaves[leaf]), pa.array(blocks[leaf]), *[chosen.column(c) for c in ("k", "label", "v")], *lists], names=["leaf", "blocks", "k", "label", "v", "w", "low", "high"]
