@@ -134,10 +134,10 @@ def selection(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str
     share = int(min(1.0, TRAIN_ROWS / max(known.count(), 1)) * (1 << 31))
     chosen = storage.materialise(known.where(F.xxhash64("id", "grade").bitwiseAND(F.lit((1 << 31) - 1)) < share), "ratings")
     drawn = every.join(storage.small(chosen, chosen.count(), 24), "id").withColumn("draw", F.xxhash64("grade", "id", "text").bitwiseAND(F.lit((1 << 31) - 1)))
-    drawn = storage.materialise(drawn, "rated")
+    drawn = storage.materialise(drawn.select("id", "text", "grade", "draw").distinct(), "rated")
     rows, chars = drawn.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     share = int(min(1.0, 1.5 * TRAIN_ROWS / max(rows, 1), TRAIN_CHARS / max(chars, 1)) * (1 << 31))
-    sample = drawn.where(f"draw < {share}").select("id", "text", "grade").distinct().collect()
+    sample = drawn.where(f"draw < {share}").select("id", "text", "grade").collect()
     if not sample:
         return every.select(F.col("id").alias(key), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(False).alias("selected"))
     sample.sort(key=lambda r: (r["id"], r["grade"], r["text"] or ""))
