@@ -11,7 +11,7 @@
 
 "Earlier" is a smaller id, or an earlier start in the same document. Defined cases: a null text has no words; a null
 id is larger than all others; rows with an id in common count as one document for the order, and at equal start
-neither is earlier; rows are told apart by their id and a 128-bit hash of their text, so only rows alike in both share
+neither is earlier; ids are whole numbers (other types are cast); rows are told apart by their id and a 128-bit hash of their text, so only rows alike in both share
 their spans; windows are judged on the input, never on what is left; a very long text is one row's work, in about ten
 times its size; an empty table gives an empty result; other columns of the input are left out.
 """
@@ -289,7 +289,9 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             .groupBy("fragment").applyInArrow(_hits(fragments), answer)
             .groupBy("message").applyInArrow(_blocks, "k long, h long, g long, blocks array<int>")
         )
-        hits = storage.materialise(hits.groupBy("k", "h", "g").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "hits")
+        # copies of a row find the same blocks: each goes on once, so a list is no longer than its text
+        each = hits.select("k", "h", "g", F.explode("blocks").alias("block")).distinct()
+        hits = storage.materialise(each.groupBy("k", "h", "g").agg(F.sort_array(F.collect_list("block")).alias("blocks")), "hits")
         found = (
             _joined(docs, hits, "blocks", "inner")
             .mapInArrow(_extend(64, fragments), MESSAGE)
