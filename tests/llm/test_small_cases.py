@@ -71,10 +71,32 @@ def test_mixing(docs, none):
     again = mixing.mix(docs.repartition(5))
     assert rows(again, "doc_id", "size", "taken") == sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=repr)
     assert mixing.mix(none).count() == 0
-    copies = Counter(r["doc_id"] for r in mixing.mixed_rows(docs).collect())
+    copies, want = Counter(r["doc_id"] for r in mixing.mixed_rows(docs).collect()), Counter()
     for r in got:
-        if r["doc_id"] not in (8, None):
-            assert copies[r["doc_id"]] >= math.ceil(r["taken"] / max(r["size"], 1)) or not r["size"]
+        if r["size"]:
+            want[r["doc_id"]] += math.ceil(r["taken"] / r["size"])
+    assert all(copies[i] == n for i, n in want.items())
+    assert mixing.mixed_rows(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("i", [None, 7])
+def test_mixing_rows_of_one_id(spark, i):
+    """Rows of equal id and size are cut at the budget, too, and lie in many ranges; which partitions they are in does not matter."""
+    rows = [(i, "w " * 100, "a", n) for n in range(1000)] + [(1000 + k, "v " * 10, "a", k) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    got = mixing.mix(df)
+    budget = got.first()["target"]
+    assert got.agg({"taken": "sum"}).first()[0] == math.floor(budget) == 150750
+    kept = Counter(r["doc_id"] for r in mixing.mixed_rows(df).collect())
+    words = 100 * kept[i] + 10 * sum(n for k, n in kept.items() if k != i)
+    assert 150750 <= words < 150850
+    assert got.select("r").distinct().count() == 1050
+    assert got.groupBy(got["r"].substr(1, 2)).count().agg({"count": "max"}).first()[0] < 20
+    assert rows_of(mixing.mix(df.repartition(2))) == rows_of(got)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select(df["doc_id"].cast("string"), "size", "taken", "r").fillna("none").collect())
 
 
 def test_byte_bpe_round_trip(docs, none, encoding):
@@ -292,3 +314,25 @@ def test_quality_classifier(docs, none, spark):
     empty = quality_classifier.selection(docs, ratings.where("false")).collect()
     assert len(empty) == len(ROWS) and not any(r["selected"] for r in empty)
     assert quality_classifier.selection(none, ratings).count() == 0
+
+
+def test_quality_classifier_learns_from_all_ids_beside_a_repeated_one(spark, monkeypatch):
+    """Rows alike in id and text take no room of others in the sample."""
+    texts = [(i, f"{'good' if i % 3 == 2 else 'poor' if i % 3 else 'bad'} text x{i}") for i in range(60)]
+    df = spark.createDataFrame(texts + [texts[0]] * 1940, "doc_id long, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(quality_classifier, "TRAIN_ROWS", 80)
+    monkeypatch.setattr(quality_classifier, "train", lambda t, g, n, f=quality_classifier.train: seen.append(len(t)) or f(t, g, n))
+    got = quality_classifier.selection(df, spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")).collect()
+    assert seen == [60] and len(got) == 2000
+    assert len({r["expected_grade"] for r in got if r["doc_id"] == 0}) == 1
+
+
+def test_substring_dedup_copies_without_ids(spark):
+    """Copies without ids are one document to each other, and later than any row with an id."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text)] * 500 + [(3, "a b c " + text), (None, text + " more words")] * 1
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == sorted([("3", 63, 0), ("None", 62, 60), *[("None", 60, 60)] * 500])
+    alone = substring_dedup.without_repeats(spark.createDataFrame([(None, text)] * 300, "doc_id long, text string")).collect()
+    assert {r["n_removed"] for r in alone} == {0}
