@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-TRAIN_ROWS, TRAIN_CHARS = 12000, 48_000_000
+TRAIN_ROWS, TRAIN_CHARS = 8000, 24_000_000
 #: Bytes of the beginnings that stand beside whole words (0), and the least count of an entry in texts of label 1.
 KINDS, LEAST = (0, 4, 5, 6, 7, 8), 4
 #: Of pure and of loose entries: the share of label 1 in their texts, two more without label 1 assumed, how many standard errors their log odds are above 0, and the entries of a kind.
@@ -363,6 +363,7 @@ def fitted(every: DataFrame, labels: DataFrame) -> tuple[list, LabelModel, Class
     sample = again.join(F.broadcast(chosen), ["id", "draw"], "left_semi").select("id", "text").distinct().limit(2 * TRAIN_ROWS).collect()
     sample.sort(key=lambda r: (r["id"], r["text"]))
     texts = [r["text"] for r in sample]
+    del sample
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
     votes = np.concatenate([np.zeros((0, VOTERS), bool), *[Words.of(b.column("text")).votes(lexicons) for b in vectors.slices([batch])]])
     return lexicons, model, train(texts, votes, model.posterior(votes), share)
