@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe_ratio
+from . import gates
 
 
 def _by_time():
@@ -166,61 +164,15 @@ def qualified(shadow: DataFrame, symbols: list[str], start: str, end: str, conf_
     return shadow.where(F.col("symbol").isin(symbols) & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")) & F.col("direction").isNotNull() & (c >= F.coalesce("own_min", F.lit(conf_min))) & (F.abs(c - 0.5) >= deadband))
 
 
-def gated(rows: DataFrame, group: list[str], order: list[str], value: str, passes) -> DataFrame:
-    """Each group's first row, and in order those that passes(last kept (micros, value), own (micros, value)) lets through.
-
-    Rows are sorted within partitions, on disk where they do not fit; a task holds one Arrow batch and one kept row.
-    """
-    columns = rows.columns
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = last = None
-        for b in batches:
-            keep = []
-            for g, own in zip(zip(*[b.column(c).to_pylist() for c in group]), zip(b.column("__at").to_pylist(), b.column(value).to_pylist()), strict=True):
-                ok = g != now or passes(last, own)
-                keep.append(ok)
-                now, last = g, own if ok else last
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in columns], names=columns)
-
-    return rows.withColumn("__at", F.unix_micros("ts")).repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, rows.schema)
-
-
-def _chained(rows: DataFrame, seconds: int) -> DataFrame:
-    """rows with __c: the symbol's stretches that no empty stretch of so many seconds cuts; one row a symbol and stretch of time is numbered."""
-    x = rows.withColumn("__o", F.floor(F.unix_micros("ts") / (seconds * 1_000_000)))
-    w = W.partitionBy("__s").orderBy("__p")
-    new = F.coalesce(F.col("__p") - F.lag("__p").over(w) > 1, F.lit(True)).cast("int")
-    chains = x.select(F.col("symbol").alias("__s"), F.col("__o").alias("__p")).distinct().withColumn("__c", F.sum(new).over(w))
-    return x.join(chains, F.col("symbol").eqNullSafe(F.col("__s")) & F.col("__o").eqNullSafe(F.col("__p"))).select(*rows.columns, "__c")
-
-
 def min_flip(signals: DataFrame, minutes: int) -> DataFrame:
     """Per symbol, drops a signal against the last kept one within so many minutes."""
-    width = minutes * 60_000_000
-
-    def passes(last: tuple, own: tuple) -> bool:
-        return None in last or None in own or last[1] == own[1] or own[0] - last[0] >= width
-
-    rows = _chained(signals.select("symbol", "ts", "event_id", "direction"), minutes * 60)
-    return gated(rows, ["symbol", "__c"], ["ts", "event_id", "direction"], "direction", passes).drop("__c")
-
-
-def soon_after(minutes: int, differ: float):
-    """For gated(): whether an alert is late or different enough after the last accepted one."""
-    width = minutes * 60_000_000
-
-    def passes(last: tuple, own: tuple) -> bool:
-        return own[0] - last[0] >= width or abs(own[1] - last[1]) >= differ
-
-    return passes
+    return gates.kept(signals.select("symbol", "ts", "event_id", "direction"), gates.min_flip(minutes), ["event_id", "direction"])
 
 
 def cooldown(alerts: DataFrame, minutes: int = 30, least_move: float = 7.0, least_volume: float = 10.0, differ: float = 2.0) -> DataFrame:
     """Alerts that are large enough, without those soon after the last accepted one of the asset and close to it in size."""
     large = alerts.where((F.abs("move") >= least_move) & (F.col("volume") >= least_volume)).select("symbol", "ts", "event_id", "move")
-    return gated(_chained(large, minutes * 60), ["symbol", "__c"], ["ts", "event_id"], "move", soon_after(minutes, differ)).drop("__c")
+    return gates.kept(large, gates.cooldown(minutes, differ), ["event_id"])
 
 
 def _trade(p: np.ndarray, close: np.ndarray, confidence: float, debounce: int, horizon: int, cost: float) -> np.ndarray:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators import market
-
+ALERTS = "symbol string, ts timestamp, event_id long, move double"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -39,34 +43,36 @@ def labels_with_decisions(labels: DataFrame, decisions: DataFrame, seconds: int
     return a.join(b, (F.col("a.origin") == F.col("b.r_origin")) & apart)
 
 
-def run_cooled(stream: DataFrame, folder: str, minutes: int, differ: float) -> DataFrame:
-    """Accepted alerts per symbol of what is there now, written to folder (shared by driver and executors).
+def cooled(stream: DataFrame, minutes: int, differ: float, late: str = "2 hours") -> DataFrame:
+    """Alerts (symbol, ts, event_id, move) that come so many minutes after the symbol's last accepted one or differ enough from it.
 
-    Each micro-batch is sorted by symbol and time as a whole and starts from the last accepted alert of each symbol, a
-    table of one row a symbol that the batch before has left. A batch that is run again overwrites what it wrote.
-    Between micro-batches alerts are taken as they come: one older than the last accepted one counts as soon after it.
+    State is the last accepted alert of a symbol; it goes once the watermark is so many minutes past it, when any alert
+    would be accepted. Alerts of a micro-batch are taken in order of time; one older than the last accepted one counts
+    as soon after it, one later than the watermark allows, or without a time, is left out.
     """
-    spark = stream.sparkSession
-    schema = "symbol string, ts timestamp, event_id long, move double"
-    new = "__new boolean"
+    width = minutes * 60_000_000
+
+    def accept(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
+        last, keep = state.get if state.exists else None, []
+        for own in zip((rows.ts.astype("datetime64[us]").astype("int64")).tolist(), rows.move.tolist(), strict=True):
+            ok = last is None or own[0] - last[0] >= width or abs(own[1] - last[1]) >= differ
+            keep.append(ok)
+            last = own if ok else last
+        state.update(last)
+        state.setTimeoutTimestamp(max((last[0] + width) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[np.array(keep)][["symbol", "ts", "event_id", "move"]]
+
+    grouped = stream.withWatermark("ts", late).groupBy("symbol")
+    return grouped.applyInPandasWithState(accept, ALERTS, "t long, move double", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def batch(rows: DataFrame, n: int) -> None:
-        s = rows.sparkSession
-        before = s.read.schema(schema).parquet(f"{folder}/last/n={n - 1}") if n else s.createDataFrame([], schema)
-        every = rows.select("symbol", "ts", "event_id", "move").withColumn("__new", F.lit(True)).unionByName(before.withColumn("__new", F.lit(False)))
-        # the last accepted row of before comes first in its group, so it is kept and the others are held against it
-        kept = market.gated(every, ["symbol"], ["__new", "ts", "event_id"], "move", market.soon_after(minutes, differ))
-        kept.write.mode("overwrite").parquet(f"{folder}/kept/n={n}")
-        kept = s.read.schema(f"{schema}, {new}").parquet(f"{folder}/kept/n={n}")
-        last = kept.groupBy("symbol").agg(F.max_by(F.struct("ts", "event_id", "move"), F.struct("__new", "ts", "event_id")).alias("x"))
-        last.select("symbol", "x.*").write.mode("overwrite").parquet(f"{folder}/last/n={n}")
-
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kept")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch yet
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, {new}, n long").parquet(f"{folder}/kept").where("__new").drop("__new", "n")
+
+def run_cooled(stream: DataFrame, folder: str, minutes: int, differ: float) -> DataFrame:
+    """Accepted alerts of what is there now, written to folder (shared by driver and executors); a later run goes on from the state that it left."""
+    return run_available(cooled(stream, minutes, differ), folder)
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
