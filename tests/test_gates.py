@@ -85,3 +85,16 @@ def test_path(spark):
             here, entries = of[here], exits
     df = spark.createDataFrame(steps, "key long, pos long, entry long, exit long")
     assert sorted(map(tuple, gates.path(df, 3).select("key", "pos", "entry").collect())) == want
+
+
+def test_in_many_partitions(spark):
+    """Buckets, entries and maps meet whatever the number of shuffle partitions."""
+    rows = made(11, 600, 9000, True)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, rows, gates.min_flip(5), ["event_id", "direction"], per=16, fan=3) == loop(rows, 300, lambda a, b: a is None or b is None or a == b)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

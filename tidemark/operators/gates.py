@@ -23,7 +23,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,10 +36,10 @@ START, OLD = -2, -1
 
 
 class Gate:
-    """width in microseconds, value: the column, passes(one, many): which of many values pass against one."""
+    """width in microseconds, value: a column, code: its values as numbers, passes(one, many): which of many codes pass against one."""
 
-    def __init__(self, width: int, value: str, passes: Callable[[object, np.ndarray], np.ndarray]):
-        self.width, self.value, self.passes = width, value, passes
+    def __init__(self, width: int, value: str, code: Callable[[Column], Column], passes: Callable[[float, np.ndarray], np.ndarray]):
+        self.width, self.value, self.code, self.passes = width, value, code, passes
 
     def next(self, t, v, at: int, value: np.ndarray, values: np.ndarray) -> int:
         """The first row from place `at` on that passes against (t, value v), or the number of rows."""
@@ -59,22 +60,13 @@ class Gate:
 
 def min_flip(minutes: int) -> Gate:
     """A direction passes if it is the last kept one's, or either is null."""
-
-    def passes(one, many: np.ndarray) -> np.ndarray:
-        return np.array([one is None or x is None or x == one for x in many], bool)
-
-    return Gate(minutes * 60_000_000, "direction", passes)
+    code = lambda c: F.coalesce(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(0).cast("long"))
+    return Gate(minutes * 60_000_000, "direction", code, lambda one, many: (many == one) | (many == 0) | (one == 0))
 
 
 def cooldown(minutes: int, differ: float) -> Gate:
     """A move passes if it differs enough from the last kept one."""
-    return Gate(minutes * 60_000_000, "move", lambda one, many: np.abs(many.astype(float) - one) >= differ)
-
-
-def _columns(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
-    values = table[value]
-    plain = pa.types.is_floating(values.type) or pa.types.is_integer(values.type)
-    return table["__t"].to_numpy(), values.to_numpy() if plain else np.array(values.to_pylist(), object)
+    return Gate(minutes * 60_000_000, "move", lambda c: c.cast("double"), lambda one, many: np.abs(many - one) >= differ)
 
 
 def kept(rows: DataFrame, gate: Gate, order: list[str], key: str = "symbol", ts: str = "ts", per: int = ROWS, fan: int = FAN) -> DataFrame:
@@ -82,31 +74,31 @@ def kept(rows: DataFrame, gate: Gate, order: list[str], key: str = "symbol", ts:
     spark, columns = rows.sparkSession, rows.columns
     t = F.unix_micros(ts)
     with shared.scratch(spark) as keep:
-        a, b, n = rows.agg(F.min(t), F.max(t), F.count(ts)).first()
+        raw = shared.written(rows.withColumn("__t", t).withColumn("__v", gate.code(F.col(gate.value))), "gate-rows")
+        a, b, n = raw.agg(F.min("__t"), F.max("__t"), F.count("__t")).first()
         if not n:
-            return rows
+            return keep(raw).select(columns)
         width = gate.width * max(1, -(-(b - a) * per // (n * gate.width)))
-        timed = rows.where(F.col(ts).isNotNull()).withColumn("__t", t).withColumn("__b", F.floor((t - a) / width))
+        timed = raw.where("__t is not null").withColumn("__b", F.floor((F.col("__t") - a) / width))
         places = timed.groupBy(F.col(key).alias("__key"), F.col("__b").alias("__at")).agg(F.count("*").alias("__n"))
         line = W.partitionBy("__key").orderBy("__at")  # a row a bucket
-        places = places.withColumn("__pos", F.row_number().over(line) - 1).withColumn("__gap", F.coalesce(F.col("__at") - F.lag("__at").over(line) > 1, F.lit(False))).drop("__n")
+        places = places.withColumn("__pos", F.row_number().over(line).cast("long") - 1).withColumn("__gap", F.coalesce(F.col("__at") - F.lag("__at").over(line) > 1, F.lit(False))).drop("__n")
         on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__b") == F.col("__at"))
-        timed = shared.written(timed.join(places, on).drop("__b", "__at", "__key").withColumn("__key", F.xxhash64(F.lit(1), key)), "gate-rows")
-        names, sorts = ["__t", gate.value, "__pos", "__gap"], ["__t", *[c for c in order if c != ts]]
-
-        def ordered(table: pa.Table) -> pa.Table:
-            # nulls first, as Spark sorts
-            return table.take(pa.array(table.select(sorts).to_pandas().sort_values(sorts, na_position="first", kind="stable").index))
+        timed = shared.written(timed.join(places, on).drop("__b", "__at", "__key").withColumn("__key", F.xxhash64(F.lit(1), key)), "gate-placed")
+        sorts = ["__t", *[c for c in order if c != ts]]
+        need = list(dict.fromkeys(["__key", "__t", "__v", "__pos", "__gap", *sorts]))
 
-        need = list(dict.fromkeys(["__key", *names, *sorts]))
+        def ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+            """The rows in order, nulls first as Spark sorts, their times and values."""
+            table = table.take(pc.sort_indices(table, [(c, "ascending") for c in sorts], null_placement="at_start"))
+            return table, table["__t"].to_numpy(), table["__v"].to_numpy()
 
         def exits(table: pa.Table) -> pa.Table:
-            table = ordered(table)
-            at, values = _columns(table, gate.value)
+            table, at, values = ordered(table)
             i = gate.exits(at, values)
-            return pa.table({"__key": table["__key"].take(pa.array(i)), "__pos": pa.array(np.full(len(i), table["__pos"][0].as_py() + 1), pa.int64()), "entry": pa.array(i), "e_t": pa.array(at[i]), "e_v": table[gate.value].take(pa.array(i))})
+            return pa.table({"__key": table["__key"].take(pa.array(i)), "__pos": pa.array(np.full(len(i), table["__pos"][0].as_py() + 1), pa.int64()), "entry": pa.array(i), "e_t": pa.array(at[i]), "e_v": pa.array(values[i])})
 
-        kind = rows.schema[gate.value].dataType.simpleString()
+        kind = timed.schema["__v"].dataType.simpleString()
         group = timed.select(need).groupBy("__key", "__pos")
         entries = shared.written(group.applyInArrow(exits, f"__key long, __pos long, entry long, e_t long, e_v {kind}"), "gate-exits")
 
@@ -122,8 +114,7 @@ def kept(rows: DataFrame, gate: Gate, order: list[str], key: str = "symbol", ts:
         def maps(table: pa.Table, found: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return pa.table({c: pa.array([], pa.int64()) for c in ("key", "pos", "entry", "exit")})
-            table, out, ends = ordered(table), [], {}
-            at, values = _columns(table, gate.value)
+            (table, at, values), out, ends = ordered(table), [], {}
             pos = table["__pos"][0].as_py()
             for entry, e_t, e_v in [*states(found), (OLD if pos else START, None, None)]:
                 i, way = first_of(table, at, values, entry, e_t, e_v), []
@@ -147,8 +138,7 @@ def kept(rows: DataFrame, gate: Gate, order: list[str], key: str = "symbol", ts:
         def chosen(table: pa.Table, found: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return table.select(columns)
-            table, out = ordered(table), []
-            at, values = _columns(table, gate.value)
+            (table, at, values), out = ordered(table), []
             i = first_of(table, at, values, *states(found)[0])
             while i < len(at):
                 out.append(i)
@@ -156,7 +146,7 @@ def kept(rows: DataFrame, gate: Gate, order: list[str], key: str = "symbol", ts:
             return table.select(columns).take(pa.array(out, pa.int64()))
 
         found = timed.groupBy("__key", "__pos").cogroup(now.groupBy("__key", "__pos")).applyInArrow(chosen, rows.schema)
-        return keep(shared.written(found.unionByName(rows.where(F.col(ts).isNull())), "gate"))
+        return keep(shared.written(found.unionByName(raw.where("__t is null").select(columns)), "gate"))
 
 
 def path(steps: DataFrame, fan: int = FAN) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions.scalars import bucket, regime_threshold
-from ..functions.stats import pearson, ranked, safe_ratio
-from . import grid, joins
+from ..functions.stats import pearson, safe_ratio
+from . import grid, joins, quantiles
 
 
 def breakdown(flags: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def volatility_regimes(events: DataFrame, start: str, end: str, interval: str, l
     last = W.partitionBy("origin").orderBy(F.desc("bucket"))
     vol = grid.densified(events, start, end, interval).withColumn("i", F.row_number().over(last)).where(F.col("i") <= lookback)
     vol = vol.groupBy("origin").agg(F.stddev_pop("n").alias("vol"))
-    cuts = vol.agg(F.array_sort(F.collect_list("vol")).alias("v"))  # one value an origin
-    cuts = cuts.select(ranked(F.col("v"), calm, "even").alias("low"), ranked(F.col("v"), turbulent, "even").alias("high"))
+    vol = shared.written(vol, "volatility")
+    cuts = quantiles.exact(vol, [], "vol", {"low": calm, "high": turbulent}, "even")
     metric = F.round("vol", 6)
     regime = F.when(metric <= F.col("low"), "calm").when(metric >= F.col("high"), "turbulent").otherwise("normal")
     return vol.join(F.broadcast(cuts)).select("origin", metric.alias("vol"), regime.alias("regime"), regime_threshold(regime).alias("threshold"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import banded
 from ..functions.stats import f1, safe_ratio
-from . import joins
+from . import joins, quantiles
 
-#: Groups of chains of one origin that are matched together: fewer calls, and an origin still spreads over tasks.
-GROUPS = 64
+#: Rows of the chains that are matched in one call; a longer chain is one by itself.
+GROUP_ROWS = 4096
 
 
 def matched(labels: DataFrame, decisions: DataFrame, seconds: int = 300) -> DataFrame:
@@ -116,7 +116,9 @@ def coverage_trend(candidates: DataFrame, decisions: DataFrame, hours: int = 3)
 
 
 def score_distribution(scored: DataFrame, keys: list[str]) -> DataFrame:
-    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", 0.5), 6).alias("median"), F.round(F.percentile("score", 0.9), 6).alias("p90"))
+    n = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    cuts = quantiles.exact(scored, keys, "score", {"median": 0.5, "p90": 0.9})
+    return quantiles.joined(n, cuts, keys).select(*keys, "n", "mean", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 def score_bins(scored: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -169,11 +171,12 @@ def what_if(pairs: DataFrame, current: float, other: float) -> DataFrame:
 def dynamic_threshold(scored: DataFrame, now: str, hours: int, q: float, least: int) -> DataFrame:
     """Linear quantile of each origin's last hours, null below least rows."""
     last = scored.where(F.col("ts") >= F.expr(f"timestamp '{now}' - interval {hours} hour"))
-    return last.groupBy("origin").agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= least, F.percentile("score", q)), 6).alias("threshold"))
+    n = quantiles.joined(last.groupBy("origin").agg(F.count("*").alias("n")), quantiles.exact(last, ["origin"], "score", {"cut": q}), ["origin"])
+    return n.select("origin", "n", F.round(F.when(F.col("n") >= least, F.col("cut")), 6).alias("threshold"))
 
 
 def greedy_by_trigger(labels: DataFrame, decisions: DataFrame, seconds: int = 300) -> DataFrame:
-    """One-to-one: decisions in time order each take the nearest label not yet taken. One origin's rows meet in a task."""
+    """One-to-one: decisions in time order each take the nearest label not yet taken. A chain of rows without a gap meets in a task."""
     return _greedy(labels, decisions, seconds, False)
 
 
@@ -182,11 +185,47 @@ def greedy_by_label(labels: DataFrame, decisions: DataFrame, seconds: int = 300)
     return _greedy(labels, decisions, seconds, True)
 
 
-def _chains(df: DataFrame, seconds: int) -> DataFrame:
-    """chain: rows of an origin between which no gap is wider than the window can be matched apart from all others."""
-    w = W.partitionBy("origin").orderBy("t", "kind", "id")
-    gap = F.col("t") - F.lag("t").over(w) > seconds * 1_000_000
-    return df.withColumn("chain", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
+def _grouped(df: DataFrame, seconds: int, rows: int = GROUP_ROWS):
+    """df grouped by origin and whole chains of about so many rows together.
+
+    A chain's rows have no gap wider than the window, so chains can be matched apart from each other. Two rows of one
+    bucket as wide as the window are never further apart; gaps lie between buckets and show in their first and last times.
+    """
+    width = seconds * 1_000_000
+    x = df.withColumn("__b", F.floor(F.col("t") / width))
+    line = W.partitionBy("o").orderBy("b")  # a row an origin and bucket
+    buckets = x.groupBy(F.col("origin").alias("o"), F.col("__b").alias("b")).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
+    begins = F.coalesce(F.col("first") - F.lag("last").over(line) > width, F.lit(True))
+    # rows before a chain's first bucket tell which group it is in
+    before = F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.withColumn("at", F.when(begins, before)).withColumn("at", F.last("at", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0)))
+    of = buckets.select("o", "b", F.floor(F.col("at") / rows).alias("__group"))
+    return x.join(of, F.col("origin").eqNullSafe(F.col("o")) & F.col("__b").eqNullSafe(F.col("b"))).select(*df.columns, "__group").groupBy("origin", "__group")
+
+
+class _Free:
+    """Places 0 .. n - 1, of which some get taken: the next free one on either side, by paths that are shortened as they are walked."""
+
+    def __init__(self, n: int):
+        self.n, self.up, self.down = n, list(range(n + 1)), list(range(n + 1))
+
+    @staticmethod
+    def _root(of: list[int], i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    def at_least(self, i: int) -> int | None:
+        j = self._root(self.up, i)
+        return j if j < self.n else None
+
+    def below(self, i: int) -> int | None:
+        j = self._root(self.down, i)  # place j - 1 stands at j; 0 is none
+        return j - 1 if j else None
+
+    def take(self, i: int) -> None:
+        self.up[i], self.down[i + 1] = i + 1, i
 
 
 def _greedy(labels: DataFrame, decisions: DataFrame, seconds: int, by_label: bool) -> DataFrame:
@@ -199,27 +238,22 @@ def _greedy(labels: DataFrame, decisions: DataFrame, seconds: int, by_label: boo
         rows = rows.sort_values(["t", "id"])
         l, d = rows[rows.kind == 0], rows[rows.kind == 1]
         lt, dt, lid, did = l.t.to_numpy(), d.t.to_numpy(), l.id.to_numpy(), d.id.to_numpy()
-        used, out = set(), []
+        out = []
         mine, others, ids, other_ids = (lt, dt, lid, did) if by_label else (dt, lt, did, lid)
+        free = _Free(len(others))
         for t, i in zip(mine, ids, strict=True):
             at = int(np.searchsorted(others, t))
+            near = [j for j in (free.below(at), free.at_least(at)) if j is not None]
             if by_label:
-                near = [j for j in (at - 1, at) if 0 <= j < len(others) and j not in used]
-            else:
-                a, b = at - 1, at
-                while a >= 0 and a in used:
-                    a -= 1
-                while b < len(others) and b in used:
-                    b += 1
-                near = [j for j in (a, b) if 0 <= j < len(others)]
+                near = [j for j in near if j in (at - 1, at)]
             near = [j for j in near if abs(int(others[j]) - int(t)) <= width]
             if near:
                 j = min(near, key=lambda j: (abs(int(others[j]) - int(t)), j))
-                used.add(j)
+                free.take(j)
                 out.append((rows.origin.iloc[0], *((i, other_ids[j]) if by_label else (other_ids[j], i))))
         return pd.DataFrame(out, columns=["origin", "label_id", "decision_id"])
 
-    return _chains(both, seconds).groupBy("origin", F.col("chain") % GROUPS).applyInPandas(match, "origin string, label_id long, decision_id long")
+    return _grouped(both, seconds).applyInPandas(match, "origin string, label_id long, decision_id long")
 
 
 def two_pointer_matches(candidates: DataFrame, decisions: DataFrame, seconds: int = 300) -> DataFrame:
@@ -239,7 +273,7 @@ def two_pointer_matches(candidates: DataFrame, decisions: DataFrame, seconds: in
                 j += 1
         return pd.DataFrame([(rows.origin.iloc[0], len(c), n)], columns=["origin", "candidates", "matched"])
 
-    parts = _chains(both, seconds).groupBy("origin", F.col("chain") % GROUPS).applyInPandas(match, "origin string, candidates long, matched long")
+    parts = _grouped(both, seconds).applyInPandas(match, "origin string, candidates long, matched long")
     n = parts.groupBy("origin").agg(F.sum("candidates").alias("candidates"), F.sum("matched").alias("matched"))
     rate = safe_ratio(F.col("matched"), F.col("candidates"))
     return n.select("origin", "candidates", "matched", F.round(rate, 4).alias("coverage"), banded(rate, [(0.15, "High"), (0.05, "Medium")], "Low").alias("level"))
