@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bernoulli_kl
+from . import ranges
 
 
 def adjusted_confidence(metrics: DataFrame, start: float = 0.6) -> DataFrame:
@@ -121,7 +122,6 @@ def balanced(rows: DataFrame, ratio: int, key: str, label: str) -> DataFrame:
 
 
 def chronological(rows: DataFrame, share: float, *order: str) -> DataFrame:
-    """part: the first share of each origin's rows is train, the rest test."""
-    w = W.partitionBy("origin")
-    i = F.row_number().over(w.orderBy(*order))
-    return rows.withColumn("part", F.when(i <= F.floor(F.count("*").over(w) * share), "train").otherwise("test"))
+    """part: the first share of each origin's rows is train, the rest test; order begins with a time."""
+    placed = ranges.numbered(rows, "origin", *order)
+    return placed.withColumn("part", F.when(F.col("__i") <= F.floor(F.col("__n") * share), "train").otherwise("test")).drop("__i", "__n")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe_ratio
-from . import joins, quality
+from . import joins, quality, ranges
 
 
 def trend_deltas(scores: DataFrame, now: str, hours: tuple[int, ...] = (6, 24)) -> DataFrame:
@@ -146,8 +146,7 @@ def backfilled(rows: DataFrame, have: DataFrame, keys: list[str], score: Column,
 
 def failure_alerts(failures: DataFrame, every: int = 10) -> DataFrame:
     """Of each component every so manieth failure, with how many there have been."""
-    n = F.row_number().over(W.partitionBy("component").orderBy("ts", "event_id"))
-    return failures.withColumn("n", n).where(F.col("n") % every == 0).select("component", "event_id", "n")
+    return ranges.numbered(failures, "component", "ts", "event_id").withColumnRenamed("__i", "n").where(F.col("n") % every == 0).select("component", "event_id", "n")
 
 
 def ranking_metrics(scored: DataFrame, key: str, p: str = "p", label: str = "label") -> DataFrame:

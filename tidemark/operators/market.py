@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe_ratio
-from . import gates
+from . import gates, ranges
 
 
 def _by_time():
@@ -127,9 +127,9 @@ def fold_metrics(scored: DataFrame, confidence: float) -> DataFrame:
 
 def pairwise_backtest(signals: DataFrame) -> DataFrame:
     """Each signal closed by the symbol's next one; n, mean return and Sharpe by symbol and over all."""
-    w = W.partitionBy("symbol").orderBy("ts", "event_id")
     side = F.when(F.col("direction") == "long", 1).otherwise(-1)
-    r = signals.withColumn("ret", side * (F.lead("price").over(w) / F.col("price") - 1)).where("ret is not null")
+    closed = ranges.with_next(signals, "symbol", "ts", ["event_id"], "price", "__close")
+    r = closed.withColumn("ret", side * (F.col("__close") / F.col("price") - 1)).drop("__close").where("ret is not null")
     cols = [F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean"), F.round(F.try_divide(F.avg("ret"), F.stddev_samp("ret")), 6).alias("sharpe"), F.round(F.avg((F.col("ret") > 0).cast("int")), 6).alias("win_rate")]
     return r.groupBy("symbol").agg(*cols).unionByName(r.agg(F.lit("total").alias("symbol"), *cols))
 
@@ -222,12 +222,8 @@ def tuned(results: DataFrame, least_trades: int) -> DataFrame:
 
 
 def ema(bars: DataFrame, column: str, span: int) -> DataFrame:
-    """Exponential mean without adjustment, as a fold over each symbol's ordered values."""
-    a = 2 / (span + 1)
-    runs = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", column))).alias("all"))
-    fold = f"""aggregate(all, cast(array() as array<struct<ts:timestamp,ema:double>>),
-        (out, x) -> array_append(out, named_struct('ts', x.ts, 'ema', if(size(out) = 0, x.{column}, {a} * x.{column} + (1 - {a}) * element_at(out, -1).ema))))"""
-    return runs.select("symbol", F.explode(F.expr(fold)).alias("x")).select("symbol", "x.ts", F.round("x.ema", 6).alias("ema"))
+    """symbol, ts and the exponential mean without adjustment of a column, from its first value on."""
+    return ranges.decayed(bars, "symbol", "ts", column, 2 / (span + 1), "ema").withColumn("ema", F.round("ema", 6))
 
 
 def trailing_examples(dense: DataFrame, triggers: DataFrame) -> DataFrame:

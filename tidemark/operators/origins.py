@@ -77,13 +77,18 @@ def volatility_regimes(events: DataFrame, start: str, end: str, interval: str, l
 
 
 def correlations(events: DataFrame, interval: str) -> DataFrame:
-    """Pearson of each two origins' counts over all buckets that any origin has, zeros filled."""
-    have = grid.counts(events, interval)
-    dense = have.select("bucket").distinct().crossJoin(have.select("origin").distinct()).join(have, ["origin", "bucket"], "left").fillna(0, ["n"])
-    wide = dense.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("origin", "n"))).alias("x"))
-    pairs = wide.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.origin < b.origin")
-    r = pearson(F.col("a.n").cast("double"), F.col("b.n").cast("double"))
-    return pairs.groupBy(F.col("a.origin").alias("a"), F.col("b.origin").alias("b")).agg(F.round(r, 3).alias("r"))
+    """Pearson of each two origins' counts over all buckets that any origin has; buckets without a count are zeros that are never made."""
+    have = shared.written(grid.counts(events, interval).withColumn("n", F.col("n").cast("double")), "counts")
+    buckets = have.agg(F.count_distinct("bucket").alias("m"))
+    sums = have.groupBy("origin").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    a, b = (have.select("bucket", F.col("origin").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "bucket").where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("ab"))
+    each = [sums.select(F.col("origin").alias(x), F.col("s").alias(f"s{x}"), F.col("q").alias(f"q{x}")) for x in "ab"]
+    # the result has a row a pair; what zeros add to its sums is nothing but the number of buckets
+    pairs = each[0].join(each[1], F.col("a") < F.col("b")).join(met, ["a", "b"], "left").fillna(0.0, ["ab"]).join(F.broadcast(buckets))
+    var = F.sqrt(F.greatest(F.col("m") * F.col("qa") - F.col("sa") * F.col("sa"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("m") * F.col("qb") - F.col("sb") * F.col("sb"), F.lit(0.0)))
+    r = F.when(F.col("m") < 2, 0.0).otherwise(F.coalesce(F.try_divide(F.col("m") * F.col("ab") - F.col("sa") * F.col("sb"), var), F.lit(0.0)))
+    return pairs.select("a", "b", F.round(r, 3).alias("r"))
 
 
 def lead_lag(events: DataFrame, interval: str, max_lag: int, top: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,31 +51,47 @@ def signed_lead_lag(a: DataFrame, b: DataFrame, lags: int) -> DataFrame:
     return r.agg(F.max(F.struct("r", (-F.col("lag")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("lag"), "best.r")
 
 
-def permutation_test(series: DataFrame, lags: int, times: int, seed: int = 4242) -> DataFrame:
-    """a, b, lag, r, p: best |r| of each pair of z-scored series over lags, against the best of shuffled ones.
+def lag_correlations(x: np.ndarray, y: np.ndarray, lags: int) -> np.ndarray:
+    """Correlations of x(t) and y(t + lag) over their overlap for lags -lags .. lags; 0 with fewer than three points or a constant side.
 
-    series: a, b, x and y as arrays over the same buckets; one task a pair.
+    Sums of products come from one Fourier transform, sums and squares from prefix sums.
+    """
+    n, size = len(x), 1 << (2 * len(x)).bit_length()
+    product = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
+    if (x == np.rint(x)).all() and (y == np.rint(y)).all():
+        product = np.rint(product)
+    lag = np.arange(-lags, lags + 1)
+    m = np.maximum(n - np.abs(lag), 0)
+    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x, y, y * y)]
+    a, b = np.minimum(np.maximum(-lag, 0), n), np.minimum(np.maximum(lag, 0), n)
+    (sx, qx), (sy, qy) = ([s[o + m] - s[o] for s in pair] for o, pair in ((a, sums[:2]), (b, sums[2:])))
+    vx, vy = m * qx - sx * sx, m * qy - sy * sy
+    ok = (m > 2) & (vx > 1e-12 * m * qx) & (vy > 1e-12 * m * qy)
+    return np.where(ok, (m * product[lag % size] - sx * sy) / np.sqrt(np.where(ok, vx * vy, 1.0)), 0.0)
+
+
+def permutation_test(series: DataFrame, lags: int, times: int, seed: int = 4242, each: int = 16) -> DataFrame:
+    """a, b, lag, r, p: best |r| of each pair of series over lags, and the share of shuffled ones whose best is no less.
+
+    series: a, b, x and y as arrays over the same buckets. A shuffle is named by its number and spread over tasks `each`
+    at a time, so a pair's test is as many tasks as it has parts, and the result does not depend on them.
     """
 
-    def best(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
-        top = (0, 0.0)
-        for lag in range(-lags, lags + 1):
-            u, v = (x[: len(x) - lag], y[lag:]) if lag >= 0 else (x[-lag:], y[: len(y) + lag])
-            if len(u) > 2 and u.std() > 0 and v.std() > 0:
-                r = float(np.corrcoef(u, v)[0, 1])
-                top = (lag, r) if abs(r) > abs(top[1]) else top
-        return top
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.itertuples():
-            x, y, rng = np.array(row.x, float), np.array(row.y, float), np.random.default_rng(seed)
-            lag, r = best(x, y)
-            count = sum(abs(best(x, rng.permutation(y))[1]) >= abs(r) for _ in range(times))
-            out.append((row.a, row.b, lag, r, (count + 1) / (times + 1)))
-        return pd.DataFrame(out, columns=["a", "b", "lag", "r", "p"])
-
-    return series.groupBy("a", "b").applyInPandas(test, "a string, b string, lag int, r double, p double")
+    def test(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for row in rows.itertuples():
+                x, y = np.array(row.x, float), np.array(row.y, float)
+                r = lag_correlations(x, y, lags)
+                at = int(np.abs(np.round(r, 12)).argmax())
+                top = abs(r[at]) - 1e-12
+                hits = sum(np.abs(lag_correlations(x, np.random.default_rng([seed, i]).permutation(y), lags)).max() >= top for i in range(row.part, min(row.part + each, times)))
+                out.append((row.a, row.b, at - lags if top > 0 else 0, float(r[at]), int(hits)))
+            yield pd.DataFrame(out, columns=["a", "b", "lag", "r", "hits"])
+
+    parts = series.select("a", "b", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.lit(each))).alias("part"))
+    found = parts.repartition("a", "b", "part").mapInPandas(test, "a string, b string, lag int, r double, hits long")
+    return found.groupBy("a", "b").agg(F.first("lag").alias("lag"), F.first("r").alias("r"), ((F.sum("hits") + 1) / (times + 1)).alias("p"))
 
 
 def relative_hours(events: DataFrame, now: str, n: int) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import scalars as S
 from ..operators import governance, grid, insight, market, models, quality, reports
 from ..sources import ledgers, sinks
@@ -30,13 +28,8 @@ def query(sql: str | None = None):
 
 
 def folder(s) -> str:
-    """A new folder in the one that driver and executors share."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; shared.drop_written() deletes it."""
+    return shared.folder(s, "ledger")
 
 
 SCORES = f"""{E}, sc as (select event_id as seq, event_type as asset, ts, case when k % 6 = 0 then 0.0 when k % 6 = 1 then null else value / 500 end as score, case when k % 5 = 0 then null else k / 100 end as confidence from e),
@@ -266,13 +259,13 @@ def artefact_manifest(s, d):
     return files.agg(F.count("*").cast("int").alias("files"), F.max("size").alias("size"), F.max("sha256").alias("sha256"))
 
 
-@query("""with a as (select case when l_linenumber % 3 = 0 then 'rollback' else 'keep' end as action, 'v' || l_suppkey as version, l_discount * 10 as confidence from lineitem where l_orderkey < 1000),
+@query("""with a as (select case when l_linenumber % 3 = 0 then 'rollback' else 'keep' end as action, 'v' || l_suppkey as version, l_discount * 10 as confidence from lineitem),
 c as (select 's' || s_suppkey as origin, s_acctbal / 50000 as ece from supplier), f as (select 'c' || c_custkey as version, c_acctbal / 10000 as f1 from customer)
 select 'action' as kind, version as subject, case when confidence >= .8 then 'critical' else 'warning' end as level from a where action = 'rollback'
 union all select 'calibration', origin, case when ece > .15 then 'critical' else 'warning' end from c where ece > .1 union all select 'accuracy', version, 'info' from f where f1 < .5""")
 def notifications(s, d):
     l, sup, c = (s.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "supplier", "customer"))
-    a = l.where("l_orderkey < 1000").select(F.when(F.col("l_linenumber") % 3 == 0, "rollback").otherwise("keep").alias("action"), F.concat(F.lit("v"), "l_suppkey").alias("version"), (F.col("l_discount") * 10).alias("confidence"))
+    a = l.select(F.when(F.col("l_linenumber") % 3 == 0, "rollback").otherwise("keep").alias("action"), F.concat(F.lit("v"), "l_suppkey").alias("version"), (F.col("l_discount") * 10).alias("confidence"))
     ece = F.col("s_acctbal") / 50000
     return reports.notifications(a, sup.select(F.concat(F.lit("s"), "s_suppkey").alias("origin"), ece.alias("ece"), (ece > 0.1).alias("high_ece")), c.select(F.concat(F.lit("c"), "c_custkey").alias("version"), (F.col("c_acctbal") / 10000).alias("f1")))
 

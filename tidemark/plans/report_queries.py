@@ -187,7 +187,9 @@ def blended_sentiment(s, d):
     return social.blended_sentiment(e.select(F.col("event_id").alias("id"), (F.col("k") / 100).alias("score")), e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), (F.col("value") / 500).alias("score")))
 
 
-@query(f"with {HISTORY}, g as (select origin, count(*) as n, string_agg(event_id, ',' order by event_id) as ids from matched where decision <> label group by 1) select * from g")
+@query(f"with {HISTORY}, g as (select origin, event_id, h_id, count(*) over (partition by origin) as n from matched where decision <> label) select * from g")
 def disagreement_lists(s, d):
-    p = pairs(s, d).where("decision <> label")
-    return p.groupBy("origin").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("ids"))
+    """Each feedback that a decision disagrees with, and how many its origin has."""
+    p = pairs(s, d).where("decision <> label").select("origin", "event_id", "h_id")
+    n = p.groupBy(F.col("origin").alias("o")).agg(F.count("*").alias("n"))
+    return p.join(n, F.col("origin").eqNullSafe(F.col("o"))).drop("o")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -53,5 +52,5 @@ def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Each key's last row."""
-    w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("__last"))
+    return last.select("__last.*")
