@@ -19,20 +19,20 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(n, label).withColumn("weight", F.lit(total) / (2 * F.col("__c"))).drop("__c")
 
 
-def classifier(kind: str, features: str = "features", label: str = "label"):
+def classifier(kind: str, features: str = "features", label: str = "label", trees: int = 200, rounds: int = 300):
     common = {"featuresCol": features, "labelCol": label, "weightCol": "weight"}
     if kind == "lr":
         return LogisticRegression(maxIter=50, regParam=1e-3, **common)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=200, maxDepth=8, seed=7, **common)
+        return RandomForestClassifier(numTrees=trees, maxDepth=8, seed=7, **common)
     if kind == "gb":
-        return GBTClassifier(maxIter=300, stepSize=0.05, maxDepth=3, seed=7, **common)
+        return GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=3, seed=7, **common)
     raise ValueError(f"no model {kind!r}")
 
 
-def train(rows: DataFrame, features: list[str], kind: str = "lr", label: str = "label") -> PipelineModel:
-    """A model over named double columns, classes balanced by weight."""
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), classifier(kind, label=label)]
+def train(rows: DataFrame, features: list[str], kind: str = "lr", label: str = "label", **sizes: int) -> PipelineModel:
+    """A model over named double columns, classes balanced by weight; sizes: trees of a forest, rounds of boosting."""
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), classifier(kind, label=label, **sizes)]
     return Pipeline(stages=stages).fit(balanced_weights(rows, label))
 
 
@@ -80,13 +80,26 @@ def from_maps(log: DataFrame, key: str, features: str, keep: list[str]) -> tuple
     return log.select(key, *keep, *[F.coalesce(F.col(features)[n], F.lit(0.0)).alias(n) for n in names]), names
 
 
-def weighted_forest(rows: DataFrame, features: list[str], category: str, label: str, weight: str) -> DataFrame:
-    """rows with p: a random forest on features and the index of a category, each row with its own weight."""
+def early(rows: DataFrame, share: float = 0.8, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(rows of the first share of the time between the first and the last, the rows after it)."""
+    a, b = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    first = F.unix_micros(ts) <= (a or 0) + int(share * ((b or 0) - (a or 0)))
+    return rows.where(first), rows.where(~first)
+
+
+def apart(rows: DataFrame, key: str, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(four fifths of the rows by a hash of their key, the others)."""
+    held = F.crc32(F.col(key).cast("string")) % folds == 0
+    return rows.where(~held), rows.where(held)
+
+
+def weighted_forest(rows: DataFrame, features: list[str], category: str, label: str, weight: str, scored: DataFrame) -> DataFrame:
+    """scored with p: a random forest on features and the index of a category of rows, each with its own weight."""
     stages = [
         StringIndexer(inputCol=category, outputCol="__i", handleInvalid="keep"), VectorAssembler(inputCols=[*features, "__i"], outputCol="features"),
         RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=50, seed=7),
     ]
-    return probability(Pipeline(stages=stages).fit(rows), rows).drop("__i")
+    return probability(Pipeline(stages=stages).fit(rows), scored).drop("__i")
 
 
 def pr_weights(scores: dict[str, float]) -> dict[str, float]:

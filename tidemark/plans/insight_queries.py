@@ -277,31 +277,34 @@ def _examples(s, d):
 
 @query()
 def per_regime_model(s, d):
-    """p of each symbol's last bar by the model of its regime."""
-    x = _examples(s, d)
-    p = models.by_regime(x, ["ret_1", "ret_3", "ret_6"], x)
+    """p of each symbol's last bar by the model of its regime, of bars in the first four fifths of the time."""
+    first, rest = models.early(_examples(s, d))
+    p = models.by_regime(first, ["ret_1", "ret_3", "ret_6"], rest)
     return p.groupBy("symbol").agg(F.max_by("p", "ts").alias("p_long"), F.max_by("regime", "ts").alias("regime"), F.max("ts").alias("ts"))
 
 
 @query()
 def retrained_from_log(s, d):
-    """Ledger rows whose features are maps with keys of their own, as columns for training; p of each row."""
+    """Ledger rows whose features are maps with keys of their own, as columns for training; p and label of the rows that are held out."""
     e = R.events(s, d).where("event_type = 'click'")
     log = e.select(F.col("event_id").alias("id"), (F.col("value") >= 50).cast("double").alias("label"), F.when(F.col("k") % 3 == 0, F.create_map(F.lit("k"), F.col("k").cast("double"))).otherwise(F.create_map(F.lit("k"), F.col("k").cast("double"), F.lit("user"), (F.col("user_id") % 10).cast("double"))).alias("features"))
     rows, names = models.from_maps(log, "id", "features", ["label"])
-    return models.probability(models.train(rows, names), rows).select("id", F.round("p", 4).alias("p"))
+    first, rest = models.apart(rows, "id")
+    return models.probability(models.train(first, names), rest).select("id", "label", F.round("p", 4).alias("p"))
 
 
 @query()
 def disagreement_model(s, d):
-    """Probability that feedback disagrees with a decision: a weighted forest on score, confidence and label."""
-    m = quality_queries.pairs(s, d).select("event_id", "score", (F.col("label") != F.col("decision")).cast("double").alias("disagrees"), F.col("label").cast("string").alias("kind"), (0.5 + F.col("score")).alias("own"))
-    return models.weighted_forest(m, ["score"], "kind", "disagrees", "own").select("event_id", F.round("p", 4).alias("p"))
+    """Probability that feedback disagrees with a decision: a weighted forest on score, confidence and label, for the rows after those that it was fitted on."""
+    m = quality_queries.pairs(s, d).select("event_id", "ts", "score", (F.col("label") != F.col("decision")).cast("double").alias("disagrees"), F.col("label").cast("string").alias("kind"), (0.5 + F.col("score")).alias("own"))
+    first, rest = models.early(m)
+    return models.weighted_forest(first, ["score"], "kind", "disagrees", "own", rest).select("event_id", "disagrees", F.round("p", 4).alias("p"))
 
 
 @query()
 def text_disagreement(s, d):
-    """Probability that a labelled document is of good quality, by TF-IDF and a forest."""
+    """Probability that a labelled document is of good quality, by TF-IDF and a forest, for documents held out."""
     docs, labels = (s.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.join(labels, "doc_id").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.col("quality").cast("double").alias("label")).dropna()
-    return models.probability(models.text_classifier(rows), rows).select("doc_id", F.round("p", 4).alias("p"))
+    first, rest = models.apart(rows, "doc_id")
+    return models.probability(models.text_classifier(first), rest).select("doc_id", "label", F.round("p", 4).alias("p"))
