@@ -33,7 +33,7 @@ from . import graph, storage, vectors
 #: Words of an n-gram; a pair links if DEN * intersection >= NUM * union.
 WORDS, NUM, DEN = 5, 80, 100
 #: N-grams that a task gathers before it sends them, and that a fragment has on average at most.
-SEND, FRAGMENT = 1_000_000, 2_000_000
+SEND, FRAGMENT = 600_000, 1_000_000
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
 U = np.uint64

@@ -6,75 +6,19 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound of what an operator broadcasts, in bytes of its columns before compression.
-BROADCAST_BYTES = 64 << 20
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where that is unset, one of this machine if Spark runs on it alone."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_to = path
-    return found
-
+from ..shared import drop_written as drop_materialised
+from ..shared import scratch, shared_dir
+from ..shared import written as materialise
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes on leaving the tables that materialise() has written inside, but for those handed to the function it gives."""
-    start, kept = len(_written), set()
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(df.written_to)
-        return df
-
-    try:
-        yield keep
-    finally:
-        inside = _written[start:]
-        _written[start:] = [x for x in inside if x in kept]
-        _delete(spark, [x for x in inside if x not in kept])
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> int:
-    n = 0
-    for path in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def drop_materialised(spark: SparkSession) -> int:
-    """Deletes every table materialise() has written in this process and nothing has deleted yet; call once no result is read any more."""
-    paths = _written[:]
-    _written.clear()
-    return _delete(spark, paths)
+__all__ = ["drop_materialised", "materialise", "scratch", "shared_dir", "ship", "small"]
 
+#: Upper bound of what an operator broadcasts, in bytes of its columns before compression.
+BROADCAST_BYTES = 64 << 20
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its rows fit BROADCAST_BYTES, else df as it is (Spark then shuffles)."""
