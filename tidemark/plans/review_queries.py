@@ -188,6 +188,31 @@ def keyword_hits(s, d):
 LEX = (("this", 1.5), ("that", -0.5), ("une", 1.0), ("les", -1.0), ("und", 0.5), ("que", -1.5))
 
 
+BOOSTERS, NEGATIONS, CONTRAST = {"the": 1.0, "der": -1.0}, ("and", "nicht", "de"), "is"
+
+
+def _compound_sql() -> str:
+    weight = "case y " + " ".join(f"when '{w}' then cast({x} as double)" for w, x in LEX) + " else 0 end"
+    up = lambda k: f"case when i > {k} then case l[i - {k}] " + " ".join(f"when '{w}' then {x} * {social.BOOST}" for w, x in BOOSTERS.items()) + " else 0 end else 0 end"
+    no = " or ".join(f"(i > {k} and coalesce(l[i - {k}] in {NEGATIONS} or l[i - {k}] like '%n''t', false))" for k in (1, 2, 3))
+    return f"""with c as (select conv_id * 1000 + turn as id, coalesce(text, '') as t from conversations),
+a as (select id, t, list_filter(list_transform(string_split_regex(t, '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: x <> '') as w from c),
+b as (select *, list_transform(w, lambda x: lower(x)) as l, len(list_filter(w, lambda x: x = upper(x) and x <> lower(x))) as n from a),
+u as (select id, l, n > 0 and n < len(w) as mixed, coalesce(list_position(l, '{CONTRAST}'), 0) as turn, w, unnest(range(1, len(w) + 1)) as i from b),
+v as (select *, w[i] as x, l[i] as y from u), z as (select *, {weight} as g from v),
+s as (select id, sum((g + case when mixed and x = upper(x) and x <> lower(x) then sign(g) * {social.CAPITALS} else 0 end + sign(g) * ({" + ".join(f"{f} * {up(k)}" for k, f in enumerate(social.FADES, 1))}))
+  * case when {no} then {social.NEGATED} else 1 end * case when turn = 0 or i = turn then 1 when i < turn then {social.BEFORE} else {social.AFTER} end) as s from z group by 1),
+m as (select id, least(length(t) - length(replace(t, '!', '')), 4) * {social.EXCLAIM} + case when length(t) - length(replace(t, '?', '')) <= 1 then 0 when length(t) - length(replace(t, '?', '')) <= 3 then (length(t) - length(replace(t, '?', ''))) * {social.ASK} else {social.ASK_MOST} end as m from c),
+r as (select id, coalesce(s, 0) + sign(coalesce(s, 0)) * m as s from m left join s using (id)) select id, round(s / sqrt(s * s + {social.NORM}), 4) as compound from r"""
+
+
+@query(_compound_sql())
+def compound_sentiment(s, d):
+    """Rule-based sentiment of every turn, on a small lexicon."""
+    weights = s.createDataFrame(list(LEX), "word string, weight double")
+    return social.compound(posts(s, d), "text", weights, BOOSTERS, list(NEGATIONS), CONTRAST).select("id", "compound")
+
+
 @query(f"""with l(word, weight) as (values {', '.join(f"('{w}', cast({x} as double))" for w, x in LEX)}), t as (select conv_id * 1000 + turn as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from conversations),
 s as (select id, sum(weight) as s from t join l using (word) group by 1) select c.id, round(coalesce(s / sqrt(s * s + 15), 0.0), 6) as score from (select conv_id * 1000 + turn as id from conversations) c left join s on c.id = s.id""")
 def lexicon_sentiment(s, d):
