@@ -92,3 +92,51 @@ def test_no_rows_yet(spark, tmp_path):
     raw = spark.readStream.schema(streams.EVENTS).parquet(f"file://{tmp_path}/in").withColumn("ts", streams.F.col("ts").cast("timestamp"))
     for mode in ("append", "complete"):
         assert streams.run_available(streams.tumbling(raw), f"file://{tmp_path}/{mode}", mode).count() == 0
+
+
+def nearest(labels, decisions, seconds):
+    out = set()
+    for o, t, i in labels:
+        near = sorted((abs((u - t).total_seconds()), u, j) for p, u, j in decisions if p == o and abs((u - t).total_seconds()) <= seconds)
+        out |= {(i, near[0][2])} if near else set()
+    return out
+
+
+def test_nearest_labels_over_batches_and_restarts(spark, tmp_path):
+    """Labels before and after their decisions, in several batches of several runs; each is answered once, the last ones by a later row."""
+    r = random.Random(4)
+    rows = [(r.choice("ab"), T0 + datetime.timedelta(seconds=s // 3 * 60 + r.randrange(200)), 1000 + s, r.choice([0, 1])) for s in range(240)]
+    schema, d = "origin string, ts timestamp, id long, kind int", str(tmp_path / "in")
+    parts = [sorted(rows, key=lambda x: x[1])[i : i + 60] for i in range(0, 240, 60)]
+    got = None
+    for part in [*parts, [("z", T0 + datetime.timedelta(days=1), 1, 0)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(d)
+        e = spark.readStream.schema(schema).parquet(d)
+        found = streams.nearest_labels(e.where("kind = 0").withColumnRenamed("id", "event_id"), e.where("kind = 1").withColumnRenamed("id", "h_id"), 120)
+        got = streams.run_available(found, f"file://{tmp_path}/out")
+    pairs = [(x["event_id"], x["h_id"]) for x in got.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == nearest([x[:3] for x in rows if x[3] == 0], [x[:3] for x in rows if x[3] == 1], 120)
+
+
+def test_every_tenth_failure_alerts(spark, tmp_path):
+    import time
+
+    rows = [(i, "feed" if i % 3 else "store", i % 2 == 0) for i in range(100)]
+    alerts, d = [], str(tmp_path / "in")
+    listener = streams.FailureAlerts(["feed", "store"], lambda c, n: alerts.append((c, n)))
+    spark.streams.addListener(listener)
+    try:
+        for part in (rows[:50], rows[50:]):
+            spark.createDataFrame(part, "id long, component string, failed boolean").coalesce(1).write.mode("append").parquet(d)
+            stream = listener.observed(spark.readStream.schema("id long, component string, failed boolean").parquet(d), "component", streams.F.col("failed"))
+            streams.run_available(stream, f"file://{tmp_path}/out")
+        want = {c: sum(1 for _, x, f in rows if x == c and f) for c in ("feed", "store")}
+        for _ in range(100):
+            if listener.counts == want:
+                break
+            time.sleep(0.1)
+        assert listener.counts == want
+        assert sorted(alerts) == sorted((c, n) for c in want for n in range(10, want[c] + 1, 10))
+    finally:
+        spark.streams.removeListener(listener)

@@ -67,9 +67,21 @@ def streamed_label_join(s, d):
 
 @query(f"with {HISTORY} select event_id, h_id from matched")
 def streamed_nearest_label(s, d):
-    """Of the pairs that the streams' join has written, each label's nearest."""
-    gap = F.abs(F.unix_micros("ts") - F.unix_micros("r_ts"))
-    return _label_pairs(s, d).groupBy("event_id").agg(F.min_by("h_id", F.struct(gap, "r_ts", "h_id")).alias("h_id"))
+    """Each label's nearest decision, answered as the watermark passes; a row of a later time ends the input."""
+    end, out = folder(s), folder(s)
+
+    def stream():
+        raw = s.readStream.schema(streams.EVENTS).parquet(end)
+        e = streams.events(s, d).unionByName(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+        part = lambda kind, name: e.where(F.col("event_type").isin(kind, "end")).select(F.when(F.col("event_type") == "end", "end").otherwise(F.concat(F.lit("o"), F.col("user_id") % 3)).alias("origin"), "ts", F.col("event_id").alias(name))
+        return streams.nearest_labels(part("purchase", "event_id"), part("click", "h_id"))
+
+    s.createDataFrame([], streams.EVENTS).write.parquet(end)
+    streams.run_available(stream(), out)
+    last = s.read.parquet(f"{d}/events.parquet").agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    marker = last.select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    marker.write.mode("append").parquet(end)
+    return streams.run_available(stream(), out)
 
 
 @query(f"with {E} select event_id, event_type from e where event_id % 2 = 1")

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 ALERTS = "symbol string, ts timestamp, event_id long, move double"
@@ -75,6 +76,75 @@ def run_cooled(stream: DataFrame, folder: str, minutes: int, differ: float) -> D
     return run_available(cooled(stream, minutes, differ), folder)
 
 
+def nearest_labels(labels: DataFrame, decisions: DataFrame, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """event_id, h_id: each label (origin, ts, event_id) with the nearest decision (origin, ts, h_id) at most so many seconds away, once.
+
+    A label is answered when the watermark is past all decisions that could be nearer. State is the labels of an origin
+    and stretch of so many seconds with the decisions around it, so no origin's rows meet as a whole, and it goes with
+    the answer. Of decisions as near the earlier one wins, then the smaller id. Labels without one, and rows later than
+    the watermark allows, give nothing; whatever lies behind the watermark when the input ends waits for more of it.
+    """
+    width = seconds * 1_000_000
+    one = lambda df, i, kind: df.select("origin", "ts", F.col(i).alias("id"), F.lit(kind).alias("kind"))
+    both = one(labels, "event_id", 0).union(one(decisions, "h_id", 1)).withWatermark("ts", late)
+    own = F.floor(F.unix_micros("ts") / width)
+    spread = both.withColumn("stretch", F.explode(F.when(F.col("kind") == 0, F.array(own)).otherwise(F.array(own - 1, own, own + 1))))
+
+    def answered(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        have = [[int(v) for v in x] for x in state.get] if state.exists else [[], [], [], []]
+        if state.hasTimedOut:
+            state.remove()
+            at, ids = (np.array(x, np.int64) for x in have[2:])
+            order = np.lexsort((ids, at))
+            at, ids, out = at[order], ids[order], []
+            for t, i in zip(*have[:2], strict=True):
+                near = [j for j in (np.searchsorted(at, at[np.searchsorted(at, t) - 1]) if np.searchsorted(at, t) else len(at), np.searchsorted(at, t)) if j < len(at) and abs(at[j] - t) <= width]
+                if near:
+                    out.append((i, ids[min(near, key=lambda j: (abs(at[j] - t), j))]))
+            yield pd.DataFrame(out, columns=["event_id", "h_id"])
+            return
+        for rows in parts:
+            t = rows.ts.astype("datetime64[us]").astype("int64")
+            for kind in (0, 1):
+                mine = (rows.kind == kind).to_numpy()
+                have[2 * kind] += t[mine].tolist()
+                have[2 * kind + 1] += rows.id[mine].tolist()
+        state.update(tuple(have))
+        state.setTimeoutTimestamp(max((int(key[1]) + 2) * width // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    kept = "l_t array<long>, l_id array<long>, d_t array<long>, d_id array<long>"
+    return spread.groupBy("origin", "stretch").applyInPandasWithState(answered, "event_id long, h_id long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class FailureAlerts(StreamingQueryListener):
+    """Counts failures that streams observe under a name, and calls alert(component, count) at every so manieth of a component.
+
+    observed() adds the metric to a stream; each micro-batch reports a row of counts, one a component.
+    """
+
+    def __init__(self, components: list[str], alert, every: int = 10, name: str = "failures"):
+        self.components, self.alert, self.every, self.name, self.counts = components, alert, every, name, dict.fromkeys(components, 0)
+
+    def observed(self, stream: DataFrame, component: str, failed: Column) -> DataFrame:
+        return stream.observe(self.name, *[F.count_if(failed & (F.col(component) == c)).alias(f"c{i}") for i, c in enumerate(self.components)])
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        for i, c in enumerate(self.components if row is not None else ()):
+            before, self.counts[c] = self.counts[c], self.counts[c] + row[f"c{i}"]
+            for n in range(before // self.every + 1, self.counts[c] // self.every + 1):
+                self.alert(c, n * self.every)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and reads what it wrote to folder: the rows of all micro-batches, or in complete mode of the last.
 
