@@ -12,6 +12,8 @@ import pytest
 
 import corpus_pipeline
 
+from tidemark.llm import mixing, storage
+
 SPACE_FREE = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,3 +126,22 @@ def test_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 0")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows without an id, and several of one id, go through every stage; each source gives its budget up to one row."""
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60 + i % 7))
+    rows = [(None, text(i), "en", "a", 0) for i in range(30)] + [(5, text(100 + i), "en", "a", 0) for i in range(10)] + [(200 + i, text(200 + i), "de", None, 0) for i in range(20)]
+    rows += [(None, text(3), "en", "a", 0), (5, text(104), "en", "a", 0), (300, None, "en", "a", 0), (None, "", None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = storage.materialise(stage(spark, docs, str(tmp_path)), "test")
+    assert docs.count() == 60 and docs.where("text is null or text = ''").count() == 0
+    goal = {r["source"]: math.floor(r["target"]) for r in mixing.mix(docs).collect()}
+    taken = Counter()
+    for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect():
+        taken[r["source"]] += len(words(r["text"]))
+    assert set(taken) == set(goal) == {"a", None}
+    assert all(goal[s] <= n < goal[s] + 67 for s, n in taken.items())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 60
