@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
 reads it back as the next stage's docs.
+
+Defined cases: a null or empty text fails the quality rules, so later stages see none; rows without an id, and rows of
+one id with different texts, are rows of their own in every stage but the n-gram join, which keeps or drops rows of one
+id together; equal rows are one after exact dedup; a null source is a source; texts of any length stay whole; no
+documents give no rows.
 """
 
 from __future__ import annotations
