@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..operators import folds, grid, insight, market, models
+from ..sources import ledgers
 from . import quality_queries
 from . import roles as R
 from .market_queries import filled
@@ -119,3 +120,11 @@ def live_backtest_model(s, d):
 def fitted_thresholds_model(s, d):
     """The smallest cutoffs of a fitted model's scores that reach each precision."""
     return insight.fitted_thresholds(_model_scores(s, d), R.triggers(s, d), {"p70": 0.7, "p80": 0.8})
+
+
+@query(f"with {E} select event_id, ts, value from e order by ts desc, event_id desc limit 50")
+def ledger_tail(s, d):
+    """The last 50 rows of a ledger written by time, from its newest files."""
+    path = shared.folder(s, "ledger-by-time")
+    ledgers.write_by_time(R.events(s, d).select("event_id", "ts", "value"), path, 16)
+    return ledgers.tail_by_time(s, path, "event_id bigint, ts timestamp, value double", 50, "ts", "event_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -54,3 +55,26 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Each key's last row."""
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("__last"))
     return last.select("__last.*")
+
+
+def write_by_time(df: DataFrame, path: str, files: int, ts: str = "ts") -> None:
+    """Appends df to path as Parquet files of ranges of time, and to path_files a row a file: name, rows with a time, first and last time."""
+    df.repartitionByRange(files, ts).sortWithinPartitions(ts).write.mode("append").parquet(path)
+    every = df.sparkSession.read.schema(df.schema).parquet(path).select(F.input_file_name().alias("file"), ts)
+    every.groupBy("file").agg(F.count(ts).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")).write.mode("overwrite").parquet(f"{path}_files")
+
+
+def tail_by_time(spark: SparkSession, path: str, schema: str | StructType, n: int, *order: str) -> DataFrame:
+    """The last n rows by order, which begins with the time that the ledger is written by; reads the newest files only.
+
+    Of the files that begin latest as many are taken as surely hold n rows; any file that ends at or after the earliest
+    beginning of these may hold others as late. Rows without a time come last of all, so they are read only if need be.
+    """
+    files = spark.read.parquet(f"{path}_files")
+    line = W.orderBy(F.desc_nulls_last("first"), "file").rowsBetween(W.unboundedPreceding, 0)  # a row a file
+    upto = files.withColumn("upto", F.sum("n").over(line))
+    since = upto.where(F.col("upto") - F.col("n") < n).agg(F.min("first").alias("since"), F.max("upto").alias("have"), F.count_if(F.col("first").isNull()).alias("untimed")).first()
+    whole = since["since"] is None or since["untimed"] or (since["have"] or 0) < n
+    chosen = [r["file"] for r in (files if whole else files.where(F.col("last") >= F.lit(since["since"]))).select("file").collect()]
+    rows = spark.read.schema(schema).parquet(*chosen) if chosen else spark.createDataFrame([], schema)
+    return tail(rows, n, *order)
