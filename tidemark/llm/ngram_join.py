@@ -5,11 +5,13 @@ The order of all n-grams is that of their hashes, cut into fragments (ranges). T
 1. Documents with equal sets form a class. Each fragment gets its part of every document's set, as Rice-coded
    hashes with document places, and counts for each document how many of its n-grams some other document has, too.
    Summed over fragments, this bounds every overlap of the document; most fall below their own threshold here.
-2. Of what is left, one member a class goes on. N-grams are ordered by frequency, each class probes with its rarest
-   ones (prefix filter) within the sizes it can link with (length filter). Blocks of one n-gram are first checked
-   against one pivot each; classes that these links have joined are never compared again. The pairs left over,
-   across components only, are then enumerated, so no link between components is lost and no block is squared.
-3. A pair's overlap is counted in each fragment by itself and summed.
+2. Of what is left, one member a class goes on. N-grams that the very same classes have make one element. Elements are
+   ordered by frequency, each class probes with its rarest ones (prefix filter) within the sizes it can link with
+   (length filter). Blocks of one element are first checked against one pivot each; classes that these links have
+   joined are never compared again. The pairs left over, across components only, are then enumerated, so no link
+   between components is lost.
+3. A pair's parities, two to four bits an n-gram, bound its overlap from above; few pairs without a link pass. The
+   overlap of those that do is counted in each fragment by itself and summed.
 
 Defined cases: a document without words, or with a null text, has an empty set and links with nothing; one with
 fewer words than an n-gram has its whole sequence as the only one; a null id never names a component (a component
@@ -161,13 +163,23 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"k": ids[some], "shared": total[some]})
 
 
+def _parities(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each set, whether the n-grams of a hash value are odd in number, for two to four values an n-gram: a power of two of bits, in words of 64."""
+    out = []
+    for v in np.split(vectors.mix(values), at[1:-1]) if len(at) > 1 else ():
+        size = max(64, 1 << (2 * len(v) - 1).bit_length())
+        odd = np.bincount((v & U(size - 1)).astype(np.int64), minlength=size) & 1
+        out.append(np.packbits(odd.astype(bool)).view(np.int64))
+    return out
+
+
 def _members(size: int):
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectors.slices(batches):
             values, at = sets(b.column("text"), size)
             same = np.array([a == e for a, e in zip(_signatures(values, at), b.column("sig").to_pylist(), strict=True)], bool)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-            rows = pa.RecordBatch.from_arrays([b.column("k"), b.column("sig"), pa.array(np.diff(at)), lists], names=["k", "sig", "n", "grams"])
+            rows = pa.RecordBatch.from_arrays([b.column("k"), b.column("sig"), pa.array(np.diff(at)), lists, pa.array(_parities(values, at), pa.list_(pa.int64()))], names=["k", "sig", "n", "grams", "bits"])
             yield rows.filter(pa.array(same))
 
     return members
@@ -214,9 +226,9 @@ def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int)
     chosen = storage.materialise(left.groupBy("sig").agg(F.min("k").alias("k")), "chosen")
     members = (
         keyed.join(storage.small(chosen, chosen.count(), 40), "k")
-        .mapInArrow(_members(size), "k long, sig binary, n long, grams array<long>")
+        .mapInArrow(_members(size), "k long, sig binary, n long, grams array<long>, bits array<long>")
         .dropDuplicates(["sig"])
-        .select(F.monotonically_increasing_id().alias("rid"), "k", "sig", "n", "grams")
+        .select(F.monotonically_increasing_id().alias("rid"), "k", "sig", "n", "grams", "bits")
     )
     members = storage.materialise(members, "members")
     joined = graph.components(_links(members))
@@ -227,54 +239,75 @@ def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int)
 
 def _links(members: DataFrame) -> DataFrame:
     """(a, b) with a < b: links enough to join all classes of a component."""
-    probes = storage.materialise(_probes(members), "probes")
+    probes = storage.materialise(_probes(_lists(members)), "probes")
     parts = storage.materialise(
         members.select("rid", "n", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "grams")
         .select("rid", "n", "part", F.expr(f"filter(grams, x -> shiftrightunsigned(x, {64 - PARTS.bit_length() + 1}) = part)").alias("grams")),
         "parts",
     )
-    pivots = probes.groupBy("gram").agg(F.min(F.struct("alone", "rid", "n", "least", "most", "place")).alias("p")).select("gram", "p.*").toDF("gram", *[f"p_{x}" for x in ("alone", "rid", "n", "least", "most", "place")])
-    star = probes.join(pivots, "gram").where(f"rid <> p_rid and {_FITS}")
+    pivots = probes.groupBy("block").agg(F.min(F.struct("alone", "rid", "n", "least", "most", "place")).alias("p")).select("block", "p.*").toDF("block", *[f"p_{x}" for x in ("alone", "rid", "n", "least", "most", "place")])
+    star = probes.join(pivots, "block").where(f"rid <> p_rid and {_FITS}")
     star = storage.materialise(star.select(F.least("rid", "p_rid").alias("a"), F.greatest("rid", "p_rid").alias("b")).distinct(), "star")
-    first = storage.materialise(_verified(star, parts), "verified")
+    first = storage.materialise(_verified(_alike(star, members), parts), "verified")
     joined = graph.components(first)
     at = storage.materialise(probes.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")), "placed")
-    blocks = (
-        at.groupBy("gram", "component").agg(F.count("*").alias("n"))
-        .groupBy("gram").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
-        .where("kinds > 1").select("gram", "main")
-    )
-    mixed = storage.materialise(at.join(blocks, "gram"), "mixed")
-    minor = mixed.where("component <> main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("rid", "n", "least", "most", "place", "component")])
-    across = mixed.join(minor, "gram").where(f"component <> p_component and {_FITS}")
-    across = across.select(F.least("rid", "p_rid").alias("a"), F.greatest("rid", "p_rid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(_verified(across, parts))
+    return first.union(_verified(_alike(_across(at).join(star, ["a", "b"], "left_anti"), members), parts))
 
 
-#: Two classes may link by sizes, and if this is the first n-gram in both, by what is left after its places.
+#: Two classes may link by sizes, and if this is the first element in both, by what is left after its places.
 _FITS = f"n between p_least and p_most and p_n between least and most and least(n - place, p_n - p_place) >= ceil({NUM} * (n + p_n) / {NUM + DEN})"
 
 
-def _probes(members: DataFrame) -> DataFrame:
-    """(gram, rid, n, alone, least, most, place): each class's rarest n-grams, and the sizes of classes that it can link with.
+def _lists(members: DataFrame) -> DataFrame:
+    """rid, n, alone, least, most, elements (x, y, place): what each class shares with others, rarest first.
 
-    With `alone` n-grams that no other class has, an overlap is at most n - alone; DEN * i >= NUM * (n + m - i) then
-    bounds m from above, and i <= m from below.
+    N-grams of the very same classes, as those of a common passage, are one element; x and y are 128 bits of that set of
+    classes. An element's place is the number of n-grams before it, `alone` that no other class has included.
+    As an overlap is at most n - alone, DEN * i >= NUM * (n + m - i) bounds m from above, and i <= m from below.
     """
     every = members.select("rid", "n", F.explode("grams").alias("gram"))
-    often = every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    known = every.join(often, "gram")
-    some = known.groupBy("rid").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    sized = (
-        some.join(members.select("rid", "n"), "rid")
-        .where(f"shared >= {_needed('n')}")
+    often = every.groupBy("gram").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("df > 1")
+    some = every.join(often, "gram").groupBy("rid", "n").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("df", "x", "y"))).alias("g"))
+    starts = F.expr("filter(sequence(0, size(g) - 1), i -> i = 0 or g[i] <> g[greatest(i - 1, 0)])")
+    return (
+        some.where(f"shared >= {_needed('n')}")
         .withColumn("alone", F.expr("n - shared"))
-        .withColumn("least", F.expr(f"ceil({NUM} * n / {DEN})"))
-        .withColumn("most", F.expr(f"floor(shared * {NUM + DEN} / {NUM}) - n"))
+        .withColumn("starts", starts)
+        .select(
+            "rid", "n", "alone", F.expr(f"ceil({NUM} * n / {DEN})").alias("least"), F.expr(f"floor(shared * {NUM + DEN} / {NUM}) - n").alias("most"),
+            F.expr("transform(starts, i -> struct(g[i].x as x, g[i].y as y, alone + i as place))").alias("elements"),
+        )
     )
-    take = F.expr(f"cast(n - {_needed('n')} + 1 - alone as int)")
-    some = F.posexplode(F.slice("grams", F.lit(1), F.greatest(take, F.lit(0)))).alias("i", "g")
-    return sized.select("rid", "n", "alone", "least", "most", some).select("g.gram", "rid", "n", "alone", "least", "most", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def _probes(lists: DataFrame) -> DataFrame:
+    """(block, rid, n, alone, least, most, place) of each element that may be the first that a class has in common with one it links with."""
+    some = lists.withColumn("e", F.explode(F.expr(f"filter(elements, e -> e.place <= n - {_needed('n')})")))
+    return some.select(F.struct("e.x", "e.y").alias("block"), "rid", "n", "alone", "least", "most", F.col("e.place").alias("place"))
+
+
+def _across(at: DataFrame) -> DataFrame:
+    """(a, b) of classes of one block and different components that may link."""
+    blocks = (
+        at.groupBy("block", "component").agg(F.count("*").alias("m"))
+        .groupBy("block").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("kinds"))
+        .where("kinds > 1").select("block", "main")
+    )
+    mixed = storage.materialise(at.join(blocks, "block"), "mixed")
+    minor = mixed.where("component <> main").select("block", *[F.col(x).alias(f"p_{x}") for x in ("rid", "n", "least", "most", "place", "component")])
+    return mixed.join(minor, "block").where(f"component <> p_component and {_FITS}").select(F.least("rid", "p_rid").alias("a"), F.greatest("rid", "p_rid").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs whose parities leave enough room: each odd difference is an n-gram that only one of the two has.
+
+    The longer one of two rows of parities is folded to the length of the other.
+    """
+    a, b = (members.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"b_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("m", F.least(F.size("b_a"), F.size("b_b")))
+    both = both.withColumns({f"b_{x}": F.expr(f"aggregate(sequence(1, size(b_{x}) div m), array_repeat(0L, m), (z, i) -> zip_with(z, slice(b_{x}, (i - 1) * m + 1, m), (p, q) -> p ^ q))") for x in "ab"})
+    odd = F.expr("aggregate(zip_with(b_a, b_b, (p, q) -> bit_count(p ^ q)), 0, (z, x) -> z + x)")
+    return both.where(F.expr("n_a + n_b") - odd >= F.expr(f"2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
