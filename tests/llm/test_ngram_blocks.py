@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import ngram_join
+from tidemark.llm import ngram_join, vectors
 
 
 def mixtures(n, seed, passages=40, of=10, near=0):
@@ -81,3 +82,12 @@ def test_parities_bound_overlaps():
         odd = np.bitwise_xor.reduce(x.reshape(-1, m)) ^ np.bitwise_xor.reduce(y.reshape(-1, m))
         assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - np.unpackbits(odd.view(np.uint8)).sum()) / 2
     assert ngram_join._parities(np.zeros(0, np.uint64), np.zeros(1, np.int64)) == []
+
+
+def test_releasing_changes_no_rows():
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, ""]})
+    twice = vectors.releasing(lambda batches: (b for b in batches for _ in range(2)))
+    assert [b.to_pydict() for b in twice([batch, batch])] == [batch.to_pydict()] * 4
+    assert list(twice([])) == []
+    table = pa.table({"k": [1, 2]})
+    assert vectors.releasing_group(lambda t: t.slice(1))(table).to_pydict() == {"k": [2]}

@@ -206,7 +206,7 @@ def _placed(numbered: DataFrame, key: str, text: str, size: int) -> DataFrame:
     spark = numbered.sparkSession
     storage.ship(spark)
     keyed = numbered.select(F.col("__row").alias("k"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    described = storage.materialise(keyed.mapInArrow(_describe(size), "k long, id long, n long, sig binary"), "sets")
+    described = storage.materialise(keyed.mapInArrow(vectors.releasing(_describe(size)), "k long, id long, n long, sig binary"), "sets")
     total = described.agg(F.sum("n")).first()[0] or 0
     with storage.scratch(spark) as keep:
         named = keep(_named(spark, keyed, described, total, size))
@@ -218,15 +218,15 @@ def _named(spark, keyed: DataFrame, described: DataFrame, total: int, size: int)
     bits = min(64, max(24, math.ceil(math.log2(total + 1)) + 12))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT))
     shared = (
-        keyed.mapInArrow(_send(size, bits, fragments), "message long, fragment int, once binary, places binary, often binary, ids binary, counts binary")
-        .groupBy("fragment").applyInArrow(_count(fragments), "message long, ids binary, counts binary")
-        .groupBy("message").applyInArrow(_total, "k long, shared long")
+        keyed.mapInArrow(vectors.releasing(_send(size, bits, fragments)), "message long, fragment int, once binary, places binary, often binary, ids binary, counts binary")
+        .groupBy("fragment").applyInArrow(vectors.releasing_group(_count(fragments)), "message long, ids binary, counts binary")
+        .groupBy("message").applyInArrow(vectors.releasing_group(_total), "k long, shared long")
     )
     left = storage.materialise(described.join(shared, "k").where(f"shared >= {_needed('n')}").select("k", "id", "n", "sig"), "left")
     chosen = storage.materialise(left.groupBy("sig").agg(F.min("k").alias("k")), "chosen")
     members = (
         keyed.join(storage.small(chosen, chosen.count(), 40), "k")
-        .mapInArrow(_members(size), "k long, sig binary, n long, grams array<long>, bits array<long>")
+        .mapInArrow(vectors.releasing(_members(size)), "k long, sig binary, n long, grams array<long>, bits array<long>")
         .dropDuplicates(["sig"])
         .select(F.monotonically_increasing_id().alias("rid"), "k", "sig", "n", "grams", "bits")
     )
