@@ -37,11 +37,18 @@ def distinct(stream: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
 
 
 def labels_with_decisions(labels: DataFrame, decisions: DataFrame, seconds: int = 300) -> DataFrame:
-    """All pairs of a key at most so many seconds apart, from two streams; a foreachBatch sink picks the nearest."""
-    late = f"{seconds} seconds"
-    a, b = labels.withWatermark("ts", late).alias("a"), decisions.withWatermark("r_ts", late).alias("b")
+    """All pairs of a key at most so many seconds apart, from two streams; a foreachBatch sink picks the nearest.
+
+    Streams join on key and stretch of so many seconds, decisions in their own and the two next to it, so that a row
+    is held against the state of its surroundings and not of all its key.
+    """
+    late, width = f"{seconds} seconds", seconds * 1_000_000
+    own = lambda ts: F.floor(F.unix_micros(ts) / width)
+    a = labels.withWatermark("ts", late).withColumn("stretch", own("ts")).alias("a")
+    near = F.array(*[own("r_ts") + i for i in (-1, 0, 1)])
+    b = decisions.withWatermark("r_ts", late).withColumn("r_stretch", F.explode(near)).alias("b")
     apart = F.expr(f"b.r_ts between a.ts - interval {seconds} seconds and a.ts + interval {seconds} seconds")
-    return a.join(b, (F.col("a.origin") == F.col("b.r_origin")) & apart)
+    return a.join(b, (F.col("a.origin") == F.col("b.r_origin")) & (F.col("a.stretch") == F.col("b.r_stretch")) & apart).drop("stretch", "r_stretch")
 
 
 def cooled(stream: DataFrame, minutes: int, differ: float, late: str = "2 hours") -> DataFrame:
