@@ -3,6 +3,9 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import joins
 from tidemark.streaming import streams
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -16,11 +19,41 @@ def test_label_join_of_streams_meets_the_stretches_around(spark, tmp_path):
     for part in (rows[:110], rows[110:]):
         spark.createDataFrame(part, "origin string, ts timestamp, id long, kind int").coalesce(1).write.mode("append").parquet(d)
         e = spark.readStream.schema("origin string, ts timestamp, id long, kind int").parquet(d)
-        labels = e.where("kind = 0").select("origin", "ts", streams.F.col("id").alias("event_id"))
-        decisions = e.where("kind = 1").select(streams.F.col("origin").alias("r_origin"), streams.F.col("ts").alias("r_ts"), streams.F.col("id").alias("h_id"))
+        labels = e.where("kind = 0").select("origin", "ts", F.col("id").alias("event_id"))
+        decisions = e.where("kind = 1").select(F.col("origin").alias("r_origin"), F.col("ts").alias("r_ts"), F.col("id").alias("h_id"))
         joined = streams.labels_with_decisions(labels, decisions, 120)
         assert joined.columns == ["origin", "ts", "event_id", "r_origin", "r_ts", "h_id"]
         got = streams.run_available(joined, f"file://{tmp_path}/out")
     want = [(a[2], b[2]) for a in rows for b in rows if a[3] == 0 and b[3] == 1 and a[0] == b[0] and abs((a[1] - b[1]).total_seconds()) <= 120]
     assert sorted((x["event_id"], x["h_id"]) for x in got.collect()) == sorted(want)
     assert "stretch" in next(x for x in joined._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x)
+
+
+def nearest_rows(left, right, seconds):
+    out = {}
+    for k, ts, i in left:
+        near = sorted((abs((u - ts).total_seconds()), u, j) for p, u, j in right if k is not None and ts and u and p == k and abs((u - ts).total_seconds()) <= seconds)
+        out |= {i: near[0][2]} if near else {}
+    return out
+
+
+def test_nearest_over_stretches_and_ties(spark):
+    """Times in steps of a minute, so that many tie and many lie at the very border; nulls, and times before 1970."""
+    r = random.Random(7)
+    for start, minutes in ((T0, 40), (T0, 600), (datetime.datetime(1969, 12, 31, 22), 240)):
+        t = lambda: start + datetime.timedelta(minutes=r.randrange(minutes))  # noqa: E731, B023
+        left = [(r.choice("abz"), t(), i) for i in range(150)] + [("a", None, 150), (None, t(), 151)]
+        right = [(r.choice("ab"), t(), i) for i in r.sample(range(1000), 120)] + [("a", None, 1000), (None, t(), 1001)]
+        got = joins.nearest(spark.createDataFrame(left, "k string, ts timestamp, id long"), spark.createDataFrame(right, "k string, r_ts timestamp, r_seq long"), "k", 300, "id")
+        assert got.columns == ["k", "ts", "id", "r_ts", "r_seq"]
+        assert {x["id"]: x["r_seq"] for x in got.collect()} == nearest_rows(left, right, 300)
+
+
+def test_nearest_makes_no_pairs(spark):
+    """A thousand rows of each side at once: what is sorted are the rows, not their pairs."""
+    rows = spark.range(1000)
+    left = rows.select(F.lit("a").alias("k"), F.lit(T0).alias("ts"), "id")
+    right = rows.select(F.lit("a").alias("k"), F.lit(T0).alias("r_ts"), F.col("id").alias("r_seq"))
+    got = joins.nearest(left, right, "k", 300, "id")
+    assert got.agg(F.count("*"), F.min("r_seq"), F.max("r_seq")).first()[:] == (1000, 0, 0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a time range, and the most ranges that all keys' times are cut into.
 RANGE_ROWS, RANGES = 1 << 16, 4096
+#: Windows that a stretch of nearest() is wide; of right, one row in so many halves stands in two stretches.
+STRETCH = 4
 
 
 def micros(ts: Column) -> Column:
@@ -36,11 +38,27 @@ def within(left: DataFrame, right: DataFrame, key: str, seconds: int) -> DataFra
 def nearest(left: DataFrame, right: DataFrame, key: str, seconds: int, row: str) -> DataFrame:
     """For each row of left the nearest of right within the window, the earlier one if two are as near (then the smaller r_seq).
 
-    left has ts and a unique column `row`; right has r_ts and r_seq. Rows without a match are left out.
+    left has ts and a unique column `row`; right has r_ts and r_seq. Rows without a match are left out. Both are sorted by
+    key and stretch of time, once forwards and once backwards: a row meets the last one of right before it and the first
+    one after it, however many are near, and those of right stand in each stretch that they may be near to.
     """
-    gap = F.abs(micros(F.col("ts")) - micros(F.col("r_ts")))
-    w = W.partitionBy(row).orderBy(gap, "r_ts", "r_seq")
-    return within(left, right, key, seconds).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    width = seconds * 1_000_000
+    stretch = lambda at: F.floor(at / (width * STRETCH))
+    mine, others = [c for c in left.columns if c != key], [c for c in right.columns if c != key]
+    at, r_at = micros(F.col("ts")), micros(F.col("r_ts"))
+    a = left.where(F.col(key).isNotNull() & at.isNotNull()).select(F.col(key).alias("__k"), at.alias("__t"), stretch(at).alias("__b"), F.struct(*mine).alias("__l"))
+    b = right.where(F.col(key).isNotNull() & r_at.isNotNull()).select(F.col(key).alias("__k"), r_at.alias("__t"), F.explode(F.sequence(stretch(r_at - width), stretch(r_at + width))).alias("__b"), F.struct(*others).alias("__r"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    one = W.partitionBy("__k", "__b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = lambda order: F.last("__r", ignorenulls=True).over(one.orderBy(order, F.col("__l").isNotNull(), F.desc("__r.r_seq")))
+    found = both.withColumn("__before", last(F.asc("__t"))).withColumn("__after", last(F.desc("__t"))).where("__l is not null")
+    gap = {c: F.abs(F.col("__t") - micros(F.col(f"{c}.r_ts"))) for c in ("__before", "__after")}
+    earlier = F.coalesce(gap["__before"] <= gap["__after"], F.col("__before").isNotNull())
+    found = found.withColumn("__r", F.when(earlier, F.col("__before")).otherwise(F.col("__after")))
+    found = found.where(F.abs(F.col("__t") - micros(F.col("__r.r_ts"))) <= width)
+    found = found.select(F.col("__k").alias(key), *[F.col("__l")[c].alias(c) for c in mine], *[F.col("__r")[c].alias(c) for c in others])
+    w = W.partitionBy(row).orderBy(F.abs(at - r_at), "r_ts", "r_seq")
+    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def exists_after(left: DataFrame, right: DataFrame, key: str, seconds: int, row: str) -> DataFrame:
