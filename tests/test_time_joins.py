@@ -1,13 +1,17 @@
 """Joins in time of hot keys: what a row meets is bounded, and results equal a loop over all pairs."""
 
 import datetime
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins
+from tidemark.plans import registry
 from tidemark.streaming import streams
 
+SF = "/root/testdata/sf0.001"
 T0 = datetime.datetime(2024, 1, 1)
 
 
@@ -57,3 +61,12 @@ def test_nearest_makes_no_pairs(spark):
     got = joins.nearest(left, right, "k", 300, "id")
     assert got.agg(F.count("*"), F.min("r_seq"), F.max("r_seq")).first()[:] == (1000, 0, 0)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables here")
+def test_disagreements_are_matched_once(spark):
+    """What the forest is fitted on and what it scores are read from one table, not matched anew in each pass."""
+    got = registry.QUERIES["disagreement_model"](spark, SF)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    matched = registry.QUERIES["nearest_label_join"](spark, SF).count()
+    assert 0 < got.count() < matched

@@ -297,7 +297,7 @@ def retrained_from_log(s, d):
 def disagreement_model(s, d):
     """Probability that feedback disagrees with a decision: a weighted forest on score, confidence and label, for the rows after those that it was fitted on."""
     m = quality_queries.pairs(s, d).select("event_id", "ts", "score", (F.col("label") != F.col("decision")).cast("double").alias("disagrees"), F.col("label").cast("string").alias("kind"), (0.5 + F.col("score")).alias("own"))
-    first, rest = models.early(m)
+    first, rest = models.early(shared.written(m, "disagreements"))
     return models.weighted_forest(first, ["score"], "kind", "disagrees", "own", rest).select("event_id", "disagrees", F.round("p", 4).alias("p"))
 
 
