@@ -11,6 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """weight: rows of each class weigh as much together as those of the other."""
@@ -129,10 +131,21 @@ def evaluated(scored: DataFrame, p: str = "p", label: str = "label") -> dict[str
     return out
 
 
-def text_classifier(rows: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:
-    """TF-IDF of lower-case words and a random forest."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="tf", numFeatures=4096), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=50, seed=7)]
-    return Pipeline(stages=stages).fit(balanced_weights(rows, label))
+#: Rows of a partition that a forest of text is fitted on; a row there holds a bin of 4 bytes for each of TERMS features.
+FOREST_ROWS, TERMS = 2048, 4096
+
+
+def spread(rows: DataFrame, per: int) -> DataFrame:
+    """rows dealt to partitions of so many each."""
+    return rows.repartition(max(1, -(-rows.count() // per)))
+
+
+def text_classifier(rows: DataFrame, text: str = "text", label: str = "label", per: int = FOREST_ROWS) -> PipelineModel:
+    """TF-IDF of lower-case words and a random forest, fitted on term counts that are written once and dealt by number."""
+    words = [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="tf", numFeatures=TERMS)]
+    counts = PipelineModel(words).transform(balanced_weights(rows, label)).select("tf", label, "weight")
+    fit = [IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=50, seed=7)]
+    return PipelineModel([*words, *Pipeline(stages=fit).fit(spread(shared.written(counts, "term-counts"), per)).stages])
 
 
 #: A Poisson weight counts how many of these shares a hash exceeds, as 32-bit numbers in hex.
