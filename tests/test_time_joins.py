@@ -70,3 +70,42 @@ def test_disagreements_are_matched_once(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     matched = registry.QUERIES["nearest_label_join"](spark, SF).count()
     assert 0 < got.count() < matched
+
+
+def sorts(plan):
+    return [x for x in plan.splitlines() if " Sort [" in x and "__t#" in x]
+
+
+def test_nearest_sorts_once(spark):
+    """Last before and first after come from one sort: a task holds its rows once, not once a direction."""
+    left = spark.range(3).select(F.lit("a").alias("k"), F.lit(T0).alias("ts"), "id")
+    right = spark.range(3).select(F.lit("a").alias("k"), F.lit(T0).alias("r_ts"), F.col("id").alias("r_seq"))
+    plan = joins.nearest(left, right, "k", 300, "id")._jdf.queryExecution().executedPlan().toString()
+    assert len(sorts(plan)) == 1
+
+
+def test_nearest_in_a_stretch_of_many_rows(spark):
+    """More rows in one stretch than a window keeps in its first buffer, many at one time, and places without an earlier or later one."""
+    r = random.Random(8)
+    at = lambda lo, hi: T0 + datetime.timedelta(seconds=r.randrange(lo, hi))
+    left, right = [("a", at(0, 1200), i) for i in range(5000)], [("a", at(200, 900), i) for i in r.sample(range(9000), 6000)]
+    first = {}
+    for _, u, j in right:
+        first[u] = min(j, first.get(u, j))
+    want = {}
+    for _, t, i in left:
+        near = min((abs((u - t).total_seconds()), u) for u in first)
+        want |= {i: (near[1], first[near[1]])} if near[0] <= 100 else {}
+    got = joins.nearest(spark.createDataFrame(left, "k string, ts timestamp, id long"), spark.createDataFrame(right, "k string, r_ts timestamp, r_seq long"), "k", 100, "id")
+    assert {x["id"]: (x["r_ts"], x["r_seq"]) for x in got.collect()} == want
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["bootstrap_brier_deviation"])
+def test_queries_match_by_one_sort(spark, monkeypatch, name):
+    """What the query's labels are matched by: no pairs, and one sort of both sides."""
+    made, real = [], joins.nearest
+    monkeypatch.setattr(joins, "nearest", lambda *a: made.append(real(*a)) or made[-1])
+    registry.QUERIES[name](spark, SF)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
+    assert plans and all(len(sorts(x)) == 1 and "Join" not in x for x in plans)

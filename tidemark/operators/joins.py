@@ -39,19 +39,24 @@ def nearest(left: DataFrame, right: DataFrame, key: str, seconds: int, row: str)
     """For each row of left the nearest of right within the window, the earlier one if two are as near (then the smaller r_seq).
 
     left has ts and a unique column `row`; right has r_ts and r_seq. Rows without a match are left out. Both are sorted by
-    key and stretch of time, once forwards and once backwards: a row meets the last one of right before it and the first
-    one after it, however many are near, and those of right stand in each stretch that they may be near to.
+    key and stretch of time, once: a row meets the last one of right before it and the first one after it, however many
+    are near, and those of right stand in each stretch that they may be near to.
     """
     width = seconds * 1_000_000
     stretch = lambda at: F.floor(at / (width * STRETCH))
     mine, others = [c for c in left.columns if c != key], [c for c in right.columns if c != key]
     at, r_at = micros(F.col("ts")), micros(F.col("r_ts"))
-    a = left.where(F.col(key).isNotNull() & at.isNotNull()).select(F.col(key).alias("__k"), at.alias("__t"), stretch(at).alias("__b"), F.struct(*mine).alias("__l"))
-    b = right.where(F.col(key).isNotNull() & r_at.isNotNull()).select(F.col(key).alias("__k"), r_at.alias("__t"), F.explode(F.sequence(stretch(r_at - width), stretch(r_at + width))).alias("__b"), F.struct(*others).alias("__r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    one = W.partitionBy("__k", "__b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = lambda order: F.last("__r", ignorenulls=True).over(one.orderBy(order, F.col("__l").isNotNull(), F.desc("__r.r_seq")))
-    found = both.withColumn("__before", last(F.asc("__t"))).withColumn("__after", last(F.desc("__t"))).where("__l is not null")
+    a = left.where(F.col(key).isNotNull() & at.isNotNull()).select(F.col(key).alias("__k"), at.alias("__t"), stretch(at).alias("__b"), F.lit(True).alias("__left"), F.struct(*mine).alias("__l"))
+    b = right.where(F.col(key).isNotNull() & r_at.isNotNull()).select(
+        F.col(key).alias("__k"), r_at.alias("__t"), F.explode(F.sequence(stretch(r_at - width), stretch(r_at + width))).alias("__b"), F.lit(False).alias("__left"), F.col("r_seq").alias("__s"), F.struct(*others).alias("__r")
+    )
+    # plain columns, so that both steps below share one sort; of right's rows at one time only the first can be met
+    one = W.partitionBy("__k", "__b").orderBy("__t", "__left", "__s")
+    heads = a.unionByName(b, allowMissingColumns=True).withColumn("__r", F.when(F.coalesce(F.lag("__t").over(one) < F.col("__t"), F.lit(True)), F.col("__r")))
+    found = heads.select(
+        "__k", "__t", "__l", F.last("__r", ignorenulls=True).over(one.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("__before"),
+        F.expr("lead(__r) ignore nulls over (partition by __k, __b order by __t, __left, __s)").alias("__after"),
+    ).where("__l is not null")
     gap = {c: F.abs(F.col("__t") - micros(F.col(f"{c}.r_ts"))) for c in ("__before", "__after")}
     earlier = F.coalesce(gap["__before"] <= gap["__after"], F.col("__before").isNotNull())
     found = found.withColumn("__r", F.when(earlier, F.col("__before")).otherwise(F.col("__after")))
