@@ -101,7 +101,7 @@ def test_nearest_in_a_stretch_of_many_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["bootstrap_brier_deviation", "held_out_calibration", "quality_per_version", "calibration_per_origin", "calibration_per_version", "performance_trend", "threshold_quality", "disagreement_lists", "model_lineage", "precision_threshold", "ranking_metrics", "reliability_bins"])
+@pytest.mark.parametrize("name", ["bootstrap_brier_deviation", "held_out_calibration", "quality_per_version", "calibration_per_origin", "calibration_per_version", "performance_trend", "threshold_quality", "disagreement_lists", "model_lineage", "precision_threshold", "ranking_metrics", "reliability_bins", "threshold_what_if"])
 def test_queries_match_by_one_sort(spark, monkeypatch, name):
     """What the query's labels are matched by: no pairs, and one sort of both sides."""
     made, real = [], joins.nearest
